@@ -29,7 +29,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
     Sources in code point order, null last, weigh ``weights``, repeating. ``share`` of all words is dealt by weight;
     a target stops at ``cap`` times its source's size and the excess is dealt again by weight. The level at which this
-    ends is found in one pass over the sources ordered by cap/weight: the first whose even share is within its cap.
+    ends is found in one pass over the sources ordered by cap/weight: the even share of those left, the first (and so the
+    largest) that is within the cap of the source at hand.
 
     The windows order one row per source in one task; documents are never ordered here.
     """
@@ -42,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     left = F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
     level = left / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     sources = sources.withColumn("level", level)
-    sources = sources.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("most"), F.col("level"))).over(every))
+    sources = sources.withColumn("level", F.max(F.when(F.col("level") * F.col("w") <= F.col("most"), F.col("level"))).over(every))
     target = F.round(F.least(F.col("most"), F.coalesce(F.col("level") * F.col("w"), F.col("most"))), 6)
     sources = sources.select("sid", "source", "source_size", target.alias("target"))
     up_to = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
@@ -138,7 +139,7 @@ g AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER
 w AS (SELECT *, [3.0, 1.0, 2.0][((sid - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size * 2.0::DOUBLE AS most FROM g),
 v AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lv
       FROM w WINDOW b AS (ORDER BY most / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT *, round(least(most, coalesce((SELECT min(lv) FROM v WHERE lv * w <= most) * w, most)), 6) AS target FROM v),
+t AS (SELECT *, round(least(most, coalesce((SELECT max(lv) FROM v WHERE lv * w <= most) * w, most)), 6) AS target FROM v),
 o AS (SELECT z.*, t.sid, t.source_size, t.target, round(t.target)::BIGINT AS q,
       coalesce(sum(size) OVER (PARTITION BY t.sid ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o
       FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source)
