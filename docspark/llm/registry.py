@@ -6,16 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import lines, mixing, simhash
+from docspark.llm import chat, gif, lines, mixing, packing, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_gif": gif.op1_gif,
+        "op2_top_inner_products": topk.op2_top_inner_products,
+        "op3_prefix_targets": chat.op3_prefix_targets,
         "op4_source_mix": mixing.op4_source_mix,
         "op8_line_dedup": lines.op8_line_dedup,
         "op9_simhash": simhash.op9_simhash,
+        "op10_pack": packing.op10_pack,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.SQL, "op8_line_dedup": lines.SQL}
+    return {
+        "op2_top_inner_products": topk.SQL,
+        "op3_prefix_targets": chat.SQL,
+        "op4_source_mix": mixing.SQL,
+        "op8_line_dedup": lines.SQL,
+    }
