@@ -16,11 +16,11 @@ from docspark.llm.common import LOWER, UPPER, stored, table
 from docspark.llm.labelled import held_out, training_sample
 
 #: Bound of the training sample: documents of each class.
-PER_CLASS = 1500
+PER_CLASS = 2500
 #: Word starts of these lengths (with the space before) are candidates for the dictionaries.
 LENGTHS = range(5, 11)
-#: Log odds from which a word start counts as one class's own, and the share of that class's documents it needs.
-ODDS, SUPPORT = 3.5, 0.004
+#: Log odds from which a word start counts as one class's own, less two standard errors; documents that it needs.
+ODDS, SUPPORT = 1.3, 5
 SHARED_BYTES, CLASS_BYTES = 4096, 2048
 LONGEST = 64
 #: Stands after every window and in both dictionaries, so that short windows are compressed at all and alike.
@@ -55,6 +55,14 @@ class Distance:
     def __post_init__(self) -> None:
         self.a, self.b = compressor(self.toxic), compressor(self.ordinary)
 
+    @classmethod
+    def of(cls, toxic: bytes, ordinary: bytes) -> Distance:
+        """A worker keeps the last from task to task."""
+        global _last
+        if _last is None or (_last.toxic, _last.ordinary) != (toxic, ordinary):
+            _last = cls(toxic, ordinary)
+        return _last
+
     def __call__(self, window: bytes) -> int:
         if (d := self.known.get(window)) is None:
             if len(self.known) > CACHE:
@@ -69,24 +77,25 @@ class Distance:
         return np.bincount(np.clip(own, 0, 7), minlength=8)
 
 
-def features(counts: np.ndarray, threshold: int) -> np.ndarray:
-    """Per document: greatest distance, and how many windows reach the threshold, outright and among all."""
-    at = np.arange(8)
-    most = np.where(counts > 0, at, 0).max(1)
-    over = counts[:, threshold:].sum(1)
-    return np.column_stack([most / 4.0, np.log1p(over), 10 * over / np.maximum(counts.sum(1), 10)])
+_last: Distance | None = None
+
+
+def features(counts: np.ndarray) -> np.ndarray:
+    """Per document: greatest distance, and for each threshold from 1 to 6 how many windows reach it, outright and among all."""
+    over = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1][:, 1:7]
+    most = np.where(counts > 0, np.arange(8), 0).max(1)
+    return np.column_stack([most / 4.0, np.log1p(over), np.sqrt(over / np.maximum(counts.sum(1, keepdims=True), 10))])
 
 
 @dataclass
 class ToxicityModel:
     toxic: bytes
     ordinary: bytes
-    threshold: int
     weights: np.ndarray
     bias: float
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features(counts, self.threshold) @ self.weights + self.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(features(counts) @ self.weights + self.bias, -30, 30)))
 
 
 def _word_starts(sample: DataFrame) -> DataFrame:
@@ -138,19 +147,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w[:-1], float(w[-1])
 
 
-def window_counts(docs: DataFrame, toxic: bytes, ordinary: bytes, keep: tuple[str, ...]) -> DataFrame:
-    """The kept columns and counts (array of 8): see Distance.counts; of the column text, null as empty."""
+def window_counts(docs: DataFrame, toxic: bytes, ordinary: bytes, keep: tuple[str, ...], model: ToxicityModel | None = None) -> DataFrame:
+    """The kept columns, counts (array of 8: see Distance.counts) and the model's score, of the column text, null as empty."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = Distance(toxic, ordinary)
+        distance = Distance.of(toxic, ordinary)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
-            counts = [distance.counts(t.as_py() or b"").tolist() for t in texts]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(counts, pa.list_(pa.int64()))], names=[*keep, "counts"])
+            counts = [distance.counts(t.as_py() or b"") for t in texts]
+            scores = model.scores(np.array(counts).reshape(-1, 8)) if model else np.zeros(len(counts))
+            columns = [*[batch.column(i) for i in range(len(keep))], pa.array([c.tolist() for c in counts], pa.list_(pa.int64())), pa.array(scores)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "counts", "score"])
 
     types = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(measure, ", ".join(f"{c} {types[c]}" for c in keep) + ", counts array<long>")
+    return docs.select(*keep, "text").mapInArrow(measure, ", ".join(f"{c} {types[c]}" for c in keep) + ", counts array<long>, score double")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel | None:
@@ -165,28 +176,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if not size.get(0) or not size.get(1):
         return None
-    least = max(3, int(SUPPORT * min(size.values())))
-    starts = stored(_word_starts(sample).where((F.col("toxic") >= least) | (F.col("ordinary") >= least)), "starts")
+    starts = stored(_word_starts(sample).where(F.greatest("toxic", "ordinary") >= SUPPORT), "starts")
     frequent = [(bytes(r["start"]), r["ordinary"]) for r in starts.orderBy(F.col("ordinary").desc(), "start").limit(4096).collect()]
     shared = choose(frequent, SHARED_BYTES)
     ratio = F.log((F.col("toxic") + 0.5) / (size[1] + 1)) - F.log((F.col("ordinary") + 0.5) / (size[0] + 1))
+    error = 2 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("ordinary") + 0.5))
     own = starts.withColumn("odds", ratio)
-    toxic = choose([(bytes(r["start"]), r["toxic"]) for r in own.where((F.col("odds") >= ODDS) & (F.col("toxic") >= least)).orderBy(F.col("toxic").desc(), "start").limit(4096).collect()], CLASS_BYTES)
-    ordinary = choose([(bytes(r["start"]), r["ordinary"]) for r in own.where((F.col("odds") <= -ODDS) & (F.col("ordinary") >= least)).orderBy(F.col("ordinary").desc(), "start").limit(4096).collect()], CLASS_BYTES)
+    sure = lambda odds: own.where(odds - error >= ODDS)
+    net = lambda a, b: F.col(a) - 5 * F.col(b) * size[int(a == "toxic")] / size[int(b == "toxic")]
+    toxic, ordinary = (
+        choose([(bytes(r["start"]), r["net"]) for r in sure(odds).withColumn("net", net(a, b)).where("net > 0").orderBy(F.col("net").desc(), "start").limit(4096).collect()], CLASS_BYTES)
+        for odds, a, b in ((F.col("odds"), "toxic", "ordinary"), (-F.col("odds"), "ordinary", "toxic"))
+    )
     pack = lambda parts: b"".join(x + b"\x01" for x in reversed(parts))
     width = max(map(len, (pack(toxic), pack(ordinary))))
-    dictionaries = [pack(shared) + pack(c).rjust(width, b"\x03") + TAIL for c in (toxic, ordinary)]
+    dictionaries = [pack(shared) + TAIL + pack(c).rjust(width, b"\x03") for c in (toxic, ordinary)]
     rows = window_counts(sample, *dictionaries, ("label",)).collect()
     counts, y = np.array([r["counts"] for r in rows]), np.array([r["label"] for r in rows])
     weight = np.where(y == 1, n1 / size[1], n0 / size[0]) / (n0 + n1) * len(y)
-    most = np.where(counts > 0, np.arange(8), 0).max(1)
-    threshold = max(range(1, 8), key=lambda t: (most[y == 1] >= t).mean() - (most[y == 0] >= t).mean())
-    weights, bias = fit_logistic(features(counts, threshold), y, weight)
-    return ToxicityModel(*dictionaries, threshold, weights, bias)
+    weights, bias = fit_logistic(features(counts), y, weight)
+    return ToxicityModel(*dictionaries, weights, bias)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1) and windows_over (how many reach the threshold) for every whole text.
+    """doc_id, counts (windows at each distance) and score (0 to 1) for every whole text.
 
     A null or empty text has no windows and so the lowest score. Rows of one doc_id are scored apart, equal texts alike.
     Only the two columns are read. Without a model (a class without labels) every score is 0. An empty table gives an
@@ -194,13 +207,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel | None, doc_id: str =
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     if model is None:
-        return own.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("windows_over"))
-    counted = window_counts(own, model.toxic, model.ordinary, ("doc_id",))
-    over = F.aggregate(F.slice("counts", model.threshold + 1, 8), F.lit(0).cast("long"), lambda a, x: a + x)
-    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    most = F.coalesce(F.array_max(F.transform("counts", lambda n, i: F.when(n > 0, i).otherwise(0))), F.lit(0))
-    line = F.lit(model.bias) + most / 4.0 * float(model.weights[0]) + F.log1p(over) * float(model.weights[1]) + 10 * over / F.greatest(total, F.lit(10).cast("long")) * float(model.weights[2])
-    return counted.select("doc_id", (1 / (1 + F.exp(-line))).alias("score"), over.alias("windows_over"))
+        return own.select("doc_id", F.array().cast("array<long>").alias("counts"), F.lit(0.0).alias("score"))
+    return window_counts(own, model.toxic, model.ordinary, ("doc_id",), model)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
