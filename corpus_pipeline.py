@@ -1,12 +1,76 @@
-"""Pipeline over documents."""
+"""The corpus pipeline: quality filter, line dedup, near-duplicate removal, source mix, packing.
+
+Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and returns a DataFrame. All but
+the last return the columns of ``documents`` (doc_id, text, lang, source, n_chars).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docspark.llm import lines, mixing, packing, quality, simhash
+from docspark.llm.common import stored, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+REJECT_BELOW = 0.3
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on the labels of ``docs``' own rows, does not reject."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs.select(*COLUMNS), model, score="quality_score").where(F.col("quality_score") >= REJECT_BELOW).select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that many documents share; n_chars follows the text."""
+    out = lines.dedup_lines(docs, keep=("lang", "source"))
+    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one whose id names the group; of repeated rows of it, one."""
+    hashed = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    groups = simhash.near_duplicates(hashed, keep=("th",))
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.min("th").alias("h"))
+    met = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")))
+    return met.select(*COLUMNS).dropDuplicates(["doc_id"])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix's slots reach its first word: not at all, once or more.
+
+    Documents stay whole, and a source's words come near its target; documents without words stay as they are.
+    """
+    numbered = stored(docs.select(*COLUMNS), "mixed")
+    taken = mixing.taken_words(*mixing.mix_sources(numbered))
+    times = taken.groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("opens"))).cast("int").alias("times"))
+    met = numbered.join(times.select(F.col("doc_id").alias("id"), "times"), F.col("doc_id").eqNullSafe(F.col("id")))
+    return met.where("times > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mixed documents in sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", filter_quality),
+    ("line dedup", dedup_lines),
+    ("SimHash near-dedup", dedup_documents),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack),
+]
 
-STAGES: list = []
+#: The classifier and the tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to ``documents``; each stage's rows are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if stage is not STAGES[-1][1]:
+            docs = stored(docs, name.replace(" ", "-"))
+    return docs

@@ -160,24 +160,26 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links, itself included), a row for each input row.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id reachable over links, itself included) and the columns named in keep.
+
+    A row for each input row.
 
     Texts without words have fingerprint 0 and are linked like any other. A null text is empty. Rows of one doc_id are
     separate documents; a null doc_id is never a component's smallest unless it has no other (component_id is null
-    then). Columns other than the two named are not read. An empty table gives an empty result.
+    then). Other columns are not read. An empty table gives an empty result.
 
     Texts are read once, for 16 bytes a document; all later steps work on distinct fingerprints, so any number of
     exact copies is one posting.
     """
-    own = stored(fingerprints(docs, doc_id, text), "fingerprints")
+    own = stored(fingerprints(docs, doc_id, text, keep), "fingerprints")
     smallest = stored(own.groupBy("fp").agg(F.min("doc_id").alias("d")), "distinct")
     roots = connected_components(similar_fingerprints(smallest.select("fp"))).withColumnRenamed("node", "fp")
     linked = stored(roots.join(smallest, "fp"), "linked")
     of_root = linked.groupBy("root").agg(F.min("d").alias("component_id"))
     of_fp = linked.join(of_root, "root").select("fp", "component_id")
     all_fps = smallest.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "d").alias("component_id"))
-    return own.join(all_fps, "fp").select("doc_id", "fp", "component_id")
+    return own.join(all_fps, "fp").select("doc_id", "fp", "component_id", *keep)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
