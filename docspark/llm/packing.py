@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -22,34 +24,63 @@ UNIT, PATTERN_DOCS = 64, 4
 CACHE = 600_000
 
 
+#: Chunks of which the number of pieces is plain: letters (composed ones only), perhaps one mark after them.
+PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+([.,;:!?]?)")
+
+
 class WordIds:
     """Token ids of whole texts, as little-endian 32-bit bytes.
 
     The tokenizer's pieces never reach over white space, so a text's ids are those of its white-space separated
-    chunks in a row, and each distinct chunk is encoded once.
+    chunks in a row, and each distinct chunk is encoded once. Plain new chunks are encoded as one text, whose ids
+    part where a token ends a piece; all others one by one. A worker keeps what it knows from task to task.
     """
 
+    workers: ClassVar[dict[str, WordIds]] = {}
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def __call__(self, text: bytes) -> bytes:
-        chunks = text.split()
-        parts = list(map(self.known.get, chunks))
-        if None in parts:
-            if len(self.known) > CACHE:
-                self.known = {}
-            new = list(dict.fromkeys(c for c, p in zip(chunks, parts, strict=True) if p is None))
-            for i in range(0, len(new), 4096):
-                some = new[i : i + 4096]
-                encoded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)
-                self.known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
-            found = self.known
-            parts = [found.get(c) if p is None else p for c, p in zip(chunks, parts, strict=True)]
-        return b"".join(parts)
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        if path not in cls.workers:
+            cls.workers[path] = cls(path)
+        return cls.workers[path]
+
+    def learn(self, chunks: list[bytes]) -> None:
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        found = [PLAIN.fullmatch(t) for t in texts]
+        plain = [i for i, m in enumerate(found) if m]
+        ids = np.array(self.tokenizer.encode(" ".join(texts[i] for i in plain), add_special_tokens=False).ids, "<u4")
+        pieces = np.array([1 + len(found[i][1]) for i in plain])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != pieces.sum():
+            raise ValueError("the tokenizer's pieces do not end with its word ends")
+        ends = [0, *(4 * ends[np.cumsum(pieces) - 1]).tolist()]
+        raw = ids.tobytes()
+        self.known.update(zip((chunks[i] for i in plain), (raw[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
+        rest = [i for i, m in enumerate(found) if not m]
+        encoded = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+        self.known.update(zip((chunks[i] for i in rest), (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        unknown = set().union(*split).difference(self.known)
+        if len(unknown) + len(self.known) > CACHE:
+            self.known.clear()
+            unknown = set().union(*split)
+        unknown = list(unknown)
+        for i in range(0, len(unknown), 50_000):
+            self.learn(unknown[i : i + 50_000])
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, chunks)) for chunks in split]
 
 
 def word_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -60,21 +91,22 @@ def word_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "k", *["ids"] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordIds(tokenizer), EOS.to_bytes(4, "little")
+        encode, end = WordIds.of(tokenizer), EOS.to_bytes(4, "little")
         seen: dict[int, int] = defaultdict(int)
         part = TaskContext.get().partitionId()
         for batch in batches:
             column = batch.column(1).cast(pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary())
             rows: list[tuple] = []
             at: list[int] = []
-            for i, t in enumerate(column):
-                ids = memoryview(encode(t.as_py() or b"") + end)
-                for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                    own = ids[4 * start : 4 * (start + capacity)]
-                    n = len(own) // 4
-                    rows.append((piece, start, n, zlib.crc32(own), part, seen[n], *[bytes(own)] * with_ids))
-                    seen[n] += 1
-                    at.append(i)
+            for few in range(0, len(column), 64):
+                for i, whole in enumerate(encode([t.as_py() or b"" for t in column[few : few + 64]]), few):
+                    ids = memoryview(whole + end)
+                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                        own = ids[4 * start : 4 * (start + capacity)]
+                        n = len(own) // 4
+                        rows.append((piece, start, n, zlib.crc32(own), part, seen[n], *[bytes(own)] * with_ids))
+                        seen[n] += 1
+                        at.append(i)
             columns = list(zip(*rows, strict=True)) or [()] * (len(names) - 1)
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]], names=names)
