@@ -90,15 +90,23 @@ def matches(text: Column, pattern: str) -> Column:
     Values come from one scan, the gaps between them from another; a match starts where the gaps and values before it
     end. Matches must not be empty.
     """
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    run = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.length(x["v"])).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["v"])).alias("end"), x["v"].alias("value"))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.coalesce(F.size(values), F.lit(0)) > 0, run).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+
+    def place(values: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        return F.aggregate(
+            F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v"))),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["g"] + F.length(x["v"])).alias("at"),
+                F.array_append(acc["out"], F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["v"])).alias("end"), x["v"].alias("value"))).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return let(F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>")), lambda v: F.when(F.size(v) > 0, place(v)).otherwise(none))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)

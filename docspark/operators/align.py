@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 GAP, LEAST_QUICK = 0.45, 0.2
@@ -34,7 +35,7 @@ def edit_ops(a: list | str, b: list | str) -> list[tuple[str, int, str, str]]:
     return out[::-1]
 
 
-@pandas_udf("array<struct<op:string,pos:int,a:string,b:string>>")
+@pandas_udf(T.ArrayType(T.StructType().add("op", "string").add("pos", "integer").add("a", "string").add("b", "string")))
 def edit_script(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("op", "pos", "a", "b"), x, strict=True)) for x in edit_ops(x or "", y or "")] for x, y in zip(a, b, strict=True)])
 
@@ -49,7 +50,7 @@ def nearest_substring(needle: str, text: str) -> int:
     return min(row)
 
 
-@pandas_udf("int")
+@pandas_udf(T.IntegerType())
 def substring_distance(needle: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else nearest_substring(x, y) for x, y in zip(needle, text, strict=True)], dtype="Int32")
 
@@ -93,7 +94,7 @@ def align_lines(a: list[str], b: list[str]) -> list[tuple[int | None, int | None
     return out[::-1]
 
 
-@pandas_udf("array<struct<a:int,b:int>>")
+@pandas_udf(T.ArrayType(T.StructType().add("a", "integer").add("b", "integer")))
 def line_alignment(a: pd.Series, b: pd.Series) -> pd.Series:
     """Pairs of line numbers of two arrays of lines; a null side is a lost or spurious line."""
     return pd.Series([[{"a": i, "b": j} for i, j in align_lines(list(x if x is not None else []), list(y if y is not None else []))] for x, y in zip(a, b, strict=True)])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import geometry as g
+from docspark.operators.grouped import fold_groups
 
 
 def linearize(words: DataFrame, page: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -98,35 +98,26 @@ def visual_rows(regions: DataFrame, page: list[str], mode: str = "halfway") -> D
 
     By centre from the top, a region joins the latest row whose centre lies within half the greater height and, in mode
     ``halfway``, none of whose members it overlaps in x by over 0.3 of the narrower width; the row's centre then moves
-    halfway. In mode ``mean`` the centre is the running mean and overlap does not count. Sequential, so a pandas group
-    per page; a page is bounded.
+    halfway. In mode ``mean`` the centre is the running mean and overlap does not count. Sequential, so a fold per page; a page is bounded.
     """
-    schema = regions.schema.simpleString()[len("struct<") : -1]
+    names = regions.columns
 
-    def band(pdf: pd.DataFrame) -> pd.DataFrame:
+    def band(key: tuple, own: list[dict]) -> list[tuple]:
         rows: list[dict] = []
-        out = {}
-        for r in sorted(pdf.itertuples(), key=lambda r: (r.top + r.height / 2, r.left)):
-            c = r.top + r.height / 2
-            home = None
+        for r in sorted(own, key=lambda r: (r["top"] + r["height"] / 2, r["left"])):
+            c, right = r["top"] + r["height"] / 2, r["left"] + r["width"]
             for i in range(len(rows) - 1, -1, -1):
                 q = rows[i]
-                if abs(c - q["c"]) < 0.5 * max(r.height, q["h"], 1) and (mode == "mean" or not any(min(r.left + r.width, m.left + m.width) - max(r.left, m.left) > 0.3 * min(r.width, m.width) for m in q["members"])):
-                    home = i
+                if abs(c - q["c"]) < 0.5 * max(r["height"], q["h"], 1) and (mode == "mean" or not any(min(right, m["left"] + m["width"]) - max(r["left"], m["left"]) > 0.3 * min(r["width"], m["width"]) for m in q["members"])):
+                    q["members"].append(r)
+                    q["c"] = (q["c"] + c) / 2 if mode == "halfway" else q["c"] + (c - q["c"]) / len(q["members"])
+                    q["h"] = max(q["h"], r["height"])
                     break
-            if home is None:
-                rows.append({"c": c, "h": r.height, "members": [r]})
-                home = len(rows) - 1
             else:
-                q = rows[home]
-                q["members"].append(r)
-                q["c"] = (q["c"] + c) / 2 if mode == "halfway" else q["c"] + (c - q["c"]) / len(q["members"])
-                q["h"] = max(q["h"], r.height)
-            out[r.Index] = home
-        order = {i: n for n, i in enumerate(sorted(range(len(rows)), key=lambda i: rows[i]["c"]))}
-        return pdf.assign(row=[order[out[i]] for i in pdf.index])
-
-    return regions.groupBy(*page).applyInPandas(band, f"{schema},row:int")
+                rows.append({"c": c, "h": r["height"], "members": [r]})
+        return [(*[m[n] for n in names], k) for k, q in enumerate(sorted(rows, key=lambda q: q["c"])) for m in q["members"]]
+
+    return fold_groups(regions, page, ["top", "left"], band, ", ".join(f"`{n}` {t}" for n, t in regions.dtypes) + ", row int")
 
 
 def line_gaps(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docspark.functions import checksum
-from docspark.functions.text import digits, matches
+from docspark.functions.text import digits, let, matches
 from docspark.operators.spans import INVALID_RULES, SPAN
 
 THRESHOLD = 0.4
@@ -138,6 +138,21 @@ def _has_context(text: Column, start: Column, words: tuple[str, ...]) -> Column:
     return near.rlike(" (?:" + "|".join(words) + ")s? ")
 
 
+def _as_span(text: Column, r: Recognizer, score: float) -> Callable[[Column], Column]:
+    """From a match to a span with its score: the pattern's, lifted by context, then by the rule."""
+
+    def span(m: Column) -> Column:
+        own = F.lit(score)
+        if r.context:
+            own = F.when(_has_context(text, m["start"], r.context), F.least(F.lit(1.0), F.greatest(own + BOOST, F.lit(BOOSTED_LEAST)))).otherwise(own)
+        if r.rule:
+            verdict = r.rule(m["value"])
+            own = F.when(verdict.isNull(), own).when(verdict, F.lit(1.0))
+        return F.struct(F.lit(r.entity).alias("entity_type"), m["start"].alias("start"), m["end"].alias("end"), own.alias("score"), F.lit(r.name).alias("recognizer"))
+
+    return span
+
+
 def recognize(text: Column, recognizers: tuple[Recognizer, ...], threshold: float = THRESHOLD) -> Column:
     """array<span> of all that the recognizers find from the threshold up; each recognizer's spans once per extent.
 
@@ -147,16 +162,7 @@ def recognize(text: Column, recognizers: tuple[Recognizer, ...], threshold: floa
     for r in recognizers:
         hits = []
         for pattern, score in r.patterns:
-            def span(m: Column, score: float = score, r: Recognizer = r) -> Column:
-                own = F.lit(score)
-                if r.context:
-                    own = F.when(_has_context(text, m["start"], r.context), F.least(F.lit(1.0), F.greatest(own + BOOST, F.lit(BOOSTED_LEAST)))).otherwise(own)
-                if r.rule:
-                    verdict = r.rule(m["value"])
-                    own = F.when(verdict.isNull(), own).when(verdict, F.lit(1.0))
-                return F.struct(F.lit(r.entity).alias("entity_type"), m["start"].alias("start"), m["end"].alias("end"), own.alias("score"), F.lit(r.name).alias("recognizer"))
-
-            hits.append(F.filter(F.transform(matches(text, pattern), span), lambda s: s["score"] >= threshold))
+            hits.append(F.filter(F.transform(matches(text, pattern), _as_span(text, r, score)), lambda s: s["score"] >= threshold))
         own = F.concat(*hits) if len(hits) > 1 else hits[0]
         found.append(F.when(text.rlike(r.guard), own).otherwise(F.array().cast(f"array<{SPAN}>")))
     return F.coalesce(F.concat(*found), F.array().cast(f"array<{SPAN}>"))
@@ -168,9 +174,8 @@ def invalid_findings(text: Column, spans: Column) -> Column:
     A candidate that a validated recognizer's span covers is a valid identifier of another class; one strictly inside a
     longer candidate is a fragment. Guesses of a model never suppress.
     """
-    valid = F.filter(spans, lambda s: s["recognizer"].isin(*VALIDATED))
-    own = F.filter(spans, lambda s: s["entity_type"].isin(*INVALID_RULES) & ~F.exists(valid, lambda v: (v["start"] <= s["start"]) & (s["end"] <= v["end"])))
-    own = F.filter(own, lambda s: ~F.exists(own, lambda k: (k["start"] <= s["start"]) & (s["end"] <= k["end"]) & ((k["start"] != s["start"]) | (k["end"] != s["end"]))))
+    loose = F.filter(spans, lambda s: s["entity_type"].isin(*INVALID_RULES) & ~F.exists(spans, lambda v: v["recognizer"].isin(*VALIDATED) & (v["start"] <= s["start"]) & (s["end"] <= v["end"])))
+    own = let(loose, lambda all_: F.filter(all_, lambda s: ~F.exists(all_, lambda k: (k["start"] <= s["start"]) & (s["end"] <= k["end"]) & ((k["start"] != s["start"]) | (k["end"] != s["end"])))))
     rules = F.create_map(*[F.lit(x) for kv in INVALID_RULES.items() for x in kv])
     out = F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["entity_type"].alias("entity_type"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value"), F.try_element_at(rules, s["entity_type"]).alias("rule")))
     return F.array_sort(F.array_distinct(out))

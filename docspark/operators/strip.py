@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.functions.text import let
 from docspark.operators import pseudonyms
 from docspark.operators.recognize import THRESHOLD, TIERS, Recognizer, invalid_findings, recognize, registry
 from docspark.operators.spans import INVALID_RULES, merge_array, resolve_greedy
@@ -77,27 +79,29 @@ def detect(docs: DataFrame, options: Options = Options(), text: str = "text", gi
     spans = recognize(F.col(text), registry(options.invalid, options.extra), options.threshold)
     if given:
         spans = F.concat(spans, F.filter(F.col(given), lambda s: s["score"] >= options.threshold))
-    found = docs.withColumn("spans", spans)
-    plan = merge_array(F.filter("spans", lambda s: in_plan(F.col(text), s, options)))
-    return found.withColumn("plan", plan).withColumn("invalid", invalid_findings(F.col(text), F.col("spans"))).drop("spans")
+    both = lambda s: F.struct(merge_array(F.filter(s, lambda x: in_plan(F.col(text), x, options))).alias("plan"), invalid_findings(F.col(text), s).alias("invalid"))
+    return docs.withColumn("__d", let(spans, both)).withColumn("plan", F.col("__d.plan")).withColumn("invalid", F.col("__d.invalid")).drop("__d")
 
 
 def strip(docs: DataFrame, options: Options = Options(), doc_id: str = "doc_id", text: str = "text", scope: Column | None = None, pmap: DataFrame | None = None, given: str | None = None, order: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(docs with ``stripped``, ``plan`` and ``invalid``; the map). doc_id must be unique.
 
     One scope (the default) numbers the whole set alike, in the order of ``order`` (default: the id) and then of
-    position; ``scope`` splits it, for instance by document. Detection runs once and its result is reused for both
-    passes if the caller persists it; placeholders come back by an equi-join and texts are spliced in their rows.
+    position; ``scope`` splits it, for instance by document. Detection runs once: what it found, not the texts, is kept
+    (in memory, else on disk; recomputed where an executor is lost). Placeholders come back by equi-joins and texts are
+    spliced in their rows.
     """
-    found = detect(docs.withColumn("scope", scope if scope is not None else F.lit("all")), options, text, given)
     order = order or (doc_id,)
-    parts = found.select("scope", doc_id, *[c for c in order if c != doc_id], F.col(text).alias("__t"), F.explode("plan").alias("s"))
-    mentions = parts.select("scope", *dict.fromkeys((*order, doc_id)), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.entity_type").alias("entity_type"), F.substring("__t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+    found = detect(docs.withColumn("scope", scope if scope is not None else F.lit("all")), options, text, given)
+    cut = F.transform("plan", lambda s: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"]).alias("value")))
+    keys = list(dict.fromkeys((*order, doc_id)))
+    slim = found.select("scope", *keys, cut.alias("plan"), "invalid").persist(StorageLevel.MEMORY_AND_DISK)
+    mentions = slim.select("scope", *keys, F.explode("plan").alias("s")).select("scope", *keys, "s.*")
     made = pseudonyms.allocate(mentions, [*order, "start"], pmap)
     named = mentions.withColumn("prefix", pseudonyms.prefix_of(F.col("entity_type"))).withColumn("norm_value", pseudonyms.normalize(F.col("value"))).join(made, ["scope", "prefix", "norm_value"])
     places = named.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("__p"))
-    out = found.join(places, doc_id, "left")
-    return out.withColumn("stripped", F.when(F.col("__p").isNull(), F.col(text)).otherwise(pseudonyms.splice(F.col(text), F.col("__p")))).drop("__p", "scope"), made
+    out = docs.join(slim.select(doc_id, "plan", "invalid"), doc_id).join(places, doc_id, "left")
+    return out.withColumn("stripped", F.when(F.col("__p").isNull(), F.col(text)).otherwise(pseudonyms.splice(F.col(text), F.col("__p")))).drop("__p"), made
 
 
 def cells(rows: DataFrame, row: str, columns: list[str] | None = None) -> DataFrame:

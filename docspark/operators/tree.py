@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.text import collapse, sanitize_glyphs
+from docspark.operators.grouped import fold_groups
 
 
 def font_key(size: Column, flags: Column, coloured: Column | None = None) -> Column:
@@ -44,26 +44,25 @@ def build_tree(pieces: DataFrame, doc: list[str]) -> DataFrame:
 
     A header closes all open headers of its level or deeper and becomes a child of the one left open; headers of equal
     level in a row, with no text between, are one. Other text belongs to the header open at the time. Then header white
-    space is collapsed, and a leaf without text passes its header on to its right sibling. Sequential, so one pandas
-    group per document; node 0 is the root with level -1.
+    space is collapsed, and a leaf without text passes its header on to its right sibling. Sequential, so a fold per document; node 0 is the root with level -1.
     """
     keys = ", ".join(f"{c} {dict(pieces.dtypes)[c]}" for c in doc)
     schema = f"{keys}, node_id int, parent_id int, level int, header string, text string, page int, x double, y double, ordinal int"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, pieces: list[dict]) -> list[tuple]:
         nodes = [{"id": 0, "parent": None, "level": -1, "header": "", "text": "", "page": 0, "x": 0.0, "y": 0.0}]
         open_ = [0]
-        for r in pdf.sort_values("ord").itertuples():
-            if r.level is None or r.level != r.level:
-                nodes[open_[-1]]["text"] += r.text
+        for r in pieces:
+            if r["level"] is None:
+                nodes[open_[-1]]["text"] += r["text"] or ""
                 continue
-            level, top = int(r.level), nodes[open_[-1]]
+            level, top = r["level"], nodes[open_[-1]]
             if top["level"] == level and not top["text"].strip():
-                top["header"] += " " + r.text
+                top["header"] += " " + r["text"]
                 continue
             while nodes[open_[-1]]["level"] >= level:
                 open_.pop()
-            nodes.append({"id": len(nodes), "parent": open_[-1], "level": level, "header": r.text, "text": "", "page": r.page, "x": r.x, "y": r.y})
+            nodes.append({"id": len(nodes), "parent": open_[-1], "level": level, "header": r["text"], "text": "", "page": r["page"], "x": r["x"], "y": r["y"]})
             open_.append(len(nodes) - 1)
         for n in nodes:
             n["header"] = " ".join(n["header"].split())
@@ -77,17 +76,15 @@ def build_tree(pieces: DataFrame, doc: list[str]) -> DataFrame:
                     b["header"] = f"{a['header']} {b['header']}".strip()
                     b["page"], b["x"], b["y"] = a["page"], a["x"], a["y"]
                     gone.add(a["id"])
-        kept = [n for n in nodes if n["id"] not in gone]
         place: dict = {}
         rows = []
-        for n in kept:
-            place[n["parent"]] = place.get(n["parent"], -1) + 1
-            rows.append([*[pdf[c].iloc[0] for c in doc], n["id"], n["parent"], n["level"], n["header"], n["text"], int(n["page"]), float(n["x"]), float(n["y"]), place[n["parent"]]])
-        out = pd.DataFrame(rows, columns=[*doc, "node_id", "parent_id", "level", "header", "text", "page", "x", "y", "ordinal"])
-        out["parent_id"] = out["parent_id"].astype("Int32")
-        return out
-
-    return pieces.groupBy(*doc).applyInPandas(fold, schema)
+        for n in nodes:
+            if n["id"] not in gone:
+                place[n["parent"]] = place.get(n["parent"], -1) + 1
+                rows.append((*key, n["id"], n["parent"], n["level"], n["header"], n["text"], int(n["page"]), float(n["x"]), float(n["y"]), place[n["parent"]]))
+        return rows
+
+    return fold_groups(pieces, doc, ["ord"], fold, schema)
 
 
 def tree_paths(nodes: DataFrame, doc: list[str], most: int = 64) -> DataFrame:
