@@ -25,7 +25,7 @@ CACHE = 600_000
 
 
 #: Chunks of which the number of pieces is plain: letters (composed ones only), perhaps one mark after them.
-PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+([.,;:!?]?)")
+PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+([.,;:!?]?)")
 
 
 class WordIds:
@@ -59,10 +59,10 @@ class WordIds:
         found = [PLAIN.fullmatch(t) for t in texts]
         plain = [i for i, m in enumerate(found) if m]
         ids = np.array(self.tokenizer.encode(" ".join(texts[i] for i in plain), add_special_tokens=False).ids, "<u4")
-        pieces = np.array([1 + len(found[i][1]) for i in plain])
+        pieces = np.array([1 + len(found[i][1]) for i in plain], int)
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != pieces.sum():
-            raise ValueError("the tokenizer's pieces do not end with its word ends")
+        if len(ends) != pieces.sum():  # some chunk was not as plain as it looked
+            plain, ids, pieces, ends, found = [], ids[:0], pieces[:0].astype(int), ends[:0], [None] * len(chunks)
         ends = [0, *(4 * ends[np.cumsum(pieces) - 1]).tolist()]
         raw = ids.tobytes()
         self.known.update(zip((chunks[i] for i in plain), (raw[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
@@ -132,16 +132,18 @@ def patterns(units: int, most: int) -> list[tuple[int, ...]]:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, steps: int = 1000) -> np.ndarray:
-    """min |ax - b| with x >= 0, by active sets."""
+    """min |ax - b| with x >= 0, by active sets over the normal equations."""
     x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    target = a.T @ b
     for _ in range(steps):
-        gain = np.where(free, -np.inf, a.T @ (b - a @ x))
+        gain = np.where(free, -np.inf, target - a.T @ (a @ x))
         if (best := int(np.argmax(gain))) < 0 or gain[best] <= 1e-9 * max(1.0, np.abs(b).max()):
             break
         free[best] = True
         while True:
             own = np.flatnonzero(free)
-            s = np.linalg.lstsq(a[:, own], b, rcond=None)[0]
+            part = a[:, own]
+            s = np.linalg.solve(part.T @ part + 1e-10 * np.eye(len(own)), target[own])
             if (s > 1e-12).all():
                 x[:] = 0
                 x[own] = s
@@ -159,10 +161,20 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 1000) -> np.ndarray:
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, unit: int = UNIT, most: int = PATTERN_DOCS) -> list[tuple[int, tuple[int, ...]]]:
     """(count, lengths): so many sequences hold pieces of these lengths. Every piece of the histogram is placed once.
 
-    Patterns of few documents that fill a sequence, in units rounded up, are fitted to the histogram by non-negative
-    least squares and repeated as often as the fit, rounded down, and the stock allow. What remains goes, longest first,
-    into the tightest gap, be it a gap left by rounding within a pattern or a sequence opened for it. All of this works
-    on counts per length: its time and size depend on the capacity, not on the number of pieces.
+    Of several fits (fit_plan: two units, patterns whole or with their last place left to the best fit, repeated as
+    fitted or half as often) the one that takes fewest sequences. All work on counts per length: time and size depend
+    on the capacity, not on the number of pieces.
+    """
+    tried = [(u, k, share, whole) for u, k in ((unit, most), (unit // 2, 3)) if u > 0 for share in (1.0, 0.5) for whole in (True, False)]
+    plans = (fit_plan(histogram, capacity, *how) for how in tried)
+    return min(plans, key=lambda groups: sum(count for count, _ in groups))
+
+
+def fit_plan(histogram: dict[int, int], capacity: int, unit: int, most: int, share: float = 1.0, whole: bool = True) -> list[tuple[int, tuple[int, ...]]]:
+    """Patterns of few documents that fill a sequence, in units rounded up, are fitted to the histogram by non-negative
+    least squares and repeated as often as a share of the fit, rounded down, and the stock allow; unless ``whole``,
+    without the pattern's shortest document. What remains goes, longest first, into the tightest gap, be it one that a
+    pattern leaves or a sequence opened for it.
     """
     stock = np.zeros(capacity + 1, np.int64)
     for n, c in histogram.items():
@@ -179,13 +191,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, unit: int = UNIT,
         b = np.add.reduceat(stock[1:], np.arange(0, capacity, unit)).astype(float)
         x = nnls(a, b)
         for j in np.argsort(-x, kind="stable"):
-            if (times := int(x[j] + 1e-6)) == 0:
+            if (times := int(share * x[j] + 1e-6)) == 0:
                 break
-            need = np.bincount(shapes[j], minlength=units + 1)
+            shape = shapes[j] if whole else shapes[j][:-1] or shapes[j]
+            need = np.bincount(shape, minlength=units + 1)
             for u in np.flatnonzero(need):
                 times = min(times, int(stock[(u - 1) * unit + 1 : u * unit + 1].sum()) // int(need[u]))
             slots = []
-            for u in shapes[j]:  # longest first within a bin
+            for u in shape:  # longest first within a bin
                 runs, left = [], times
                 for n in range(u * unit, (u - 1) * unit, -1):
                     if left and stock[n]:
