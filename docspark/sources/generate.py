@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import checksum
+from docspark.functions.text import let
 
 
 def number(seed: int, key: Column, low: int, high: int, salt: str) -> Column:
@@ -22,24 +23,19 @@ def _complete(head: Column, check: Column) -> Column:
 
 
 def _weighted(d: Column, weights: tuple[int, ...]) -> Column:
-    total = F.lit(0)
-    for i, w in enumerate(weights):
-        total = total + F.substring(d, i + 1, 1).cast("int") * w
-    return total
+    w = F.expr(f"array({', '.join(map(str, weights))})")
+    return F.aggregate(F.zip_with(F.slice(F.split(d, ""), 1, len(weights)), w, lambda c, x: c.cast("int") * x), F.lit(0), lambda s, x: s + x)
 
 
 def tfn(seed: int, key: Column) -> Column:
     """Nine digits that pass; the last weight is -1 modulo 11, so a remainder of 10 moves to a head one higher."""
-    head = _digits(seed, key, 8, "tfn")
-    lifted = F.lpad(F.pmod(head.cast("long") + 1, F.lit(10**8)).cast("string"), 8, "0")
-    check = lambda h: _weighted(h, checksum.TFN[:8]) % 11
-    again = F.lpad(F.pmod(head.cast("long") + 2, F.lit(10**8)).cast("string"), 8, "0")
-    return F.when(check(head) < 10, _complete(head, check(head))).when(check(lifted) < 10, _complete(lifted, check(lifted))).otherwise(_complete(again, check(again)))
+    heads = F.transform(F.array(*map(F.lit, range(3))), lambda k: F.lpad(F.pmod(number(seed, key, 0, 10**8 - 1, "tfn") + k, F.lit(10**8)).cast("string"), 8, "0"))
+    whole = F.transform(heads, lambda h: let(_weighted(h, checksum.TFN[:8]) % 11, lambda c: F.when(c < 10, _complete(h, c))))
+    return F.get(F.filter(whole, lambda v: v.isNotNull()), 0)
 
 
 def acn(seed: int, key: Column) -> Column:
-    head = _digits(seed, key, 8, "acn")
-    return _complete(head, (10 - _weighted(head, checksum.ACN) % 10) % 10)
+    return let(_digits(seed, key, 8, "acn"), lambda head: _complete(head, (10 - _weighted(head, checksum.ACN) % 10) % 10))
 
 
 def medicare(seed: int, key: Column) -> Column:
@@ -58,12 +54,9 @@ def abn(seed: int, key: Column) -> Column:
 
 def card(seed: int, key: Column) -> Column:
     """Sixteen digits that pass the Luhn test."""
-    head = F.concat(F.lit("4"), _digits(seed, key, 14, "card"))
-    total = F.lit(0)
-    for i in range(15):
-        d = F.substring(head, i + 1, 1).cast("int")
-        total = total + (F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2) if i % 2 == 0 else d)
-    return _complete(head, (10 - total % 10) % 10)
+    doubled = lambda c, i: F.when(i % 2 == 1, c.cast("int")).when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)
+    total = lambda head: F.aggregate(F.transform(F.split(head, ""), doubled), F.lit(0), lambda s, x: s + x)
+    return let(F.concat(F.lit("4"), _digits(seed, key, 14, "card")), lambda head: _complete(head, (10 - total(head) % 10) % 10))
 
 
 def bsb(seed: int, key: Column) -> Column:
@@ -87,9 +80,11 @@ def landline(seed: int, key: Column) -> Column:
 
 def corrupt(value: Column, ok, also=None) -> Column:
     """The first value with one digit raised by 1 to 9 that fails ``ok`` (and ``also``); flips are tried from the last digit."""
-    n = F.length(value)
-    tries = F.flatten(F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: F.concat(F.substring(value, 1, i - 1), ((F.substring(value, i, F.lit(1)).cast("int") + k) % 10).cast("string"), F.substring(value, i + 1, n)))))
-    return F.get(F.filter(tries, lambda t: ~ok(t) & (~also(t) if also else F.lit(True))), 0)
+    def flips(v: Column) -> Column:
+        n = F.length(v)
+        return F.flatten(F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: F.concat(F.substring(v, F.lit(1), i - 1), ((F.substring(v, i, F.lit(1)).cast("int") + k) % 10).cast("string"), F.substring(v, i + 1, n)))))
+
+    return F.get(F.filter(let(value, flips), lambda t: ~ok(t) & (~also(t) if also else F.lit(True))), 0)
 
 
 def group(value: Column, *sizes: int) -> Column:
