@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -153,11 +155,18 @@ def _as_span(text: Column, r: Recognizer, score: float) -> Callable[[Column], Co
     return span
 
 
-def recognize(text: Column, recognizers: tuple[Recognizer, ...], threshold: float = THRESHOLD) -> Column:
-    """array<span> of all that the recognizers find from the threshold up; each recognizer's spans once per extent.
+def recognize(text: str, recognizers: tuple[Recognizer, ...], threshold: float = THRESHOLD) -> Column:
+    """array<span> of all that the recognizers find, from the threshold up, in the text column of that name.
 
-    Patterns are scanned only where the recognizer's cheap test holds; null text gives no spans.
+    Patterns are scanned only where the recognizer's cheap test holds; null text gives no spans. The expression is large,
+    so it is built once per name and set of recognizers.
     """
+    return _recognize(text, tuple(recognizers), threshold, id(SparkContext._active_spark_context))
+
+
+@lru_cache(maxsize=64)
+def _recognize(name: str, recognizers: tuple[Recognizer, ...], threshold: float, _context: int) -> Column:
+    text = F.col(name)
     found = []
     for r in recognizers:
         hits = []

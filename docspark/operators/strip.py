@@ -68,7 +68,7 @@ def analyze(docs: DataFrame, options: Options = Options(), text: str = "text", g
 
     ``given`` names an array<span> column of spans from elsewhere, such as a named-entity model; they join the rest.
     """
-    spans = recognize(F.col(text), registry(options.invalid, options.extra), options.threshold)
+    spans = recognize(text, registry(options.invalid, options.extra), options.threshold)
     if given:
         spans = F.concat(spans, F.filter(F.col(given), lambda s: s["score"] >= options.threshold))
     return docs.withColumn("spans", spans).withColumn("view", resolve_greedy(F.col("spans")))
@@ -76,7 +76,7 @@ def analyze(docs: DataFrame, options: Options = Options(), text: str = "text", g
 
 def detect(docs: DataFrame, options: Options = Options(), text: str = "text", given: str | None = None) -> DataFrame:
     """docs with ``plan`` (disjoint spans to replace) and ``invalid`` (findings); all within the row, no shuffle."""
-    spans = recognize(F.col(text), registry(options.invalid, options.extra), options.threshold)
+    spans = recognize(text, registry(options.invalid, options.extra), options.threshold)
     if given:
         spans = F.concat(spans, F.filter(F.col(given), lambda s: s["score"] >= options.threshold))
     both = lambda s: F.struct(merge_array(F.filter(s, lambda x: in_plan(F.col(text), x, options))).alias("plan"), invalid_findings(F.col(text), s).alias("invalid"))
