@@ -47,6 +47,7 @@ class WordIds:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -58,7 +59,7 @@ class WordIds:
         texts = [c.decode("utf-8", "replace") for c in chunks]
         found = [PLAIN.fullmatch(t) for t in texts]
         plain = [i for i, m in enumerate(found) if m]
-        ids = np.array(self.tokenizer.encode(" ".join(texts[i] for i in plain), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in plain)], add_special_tokens=False)[0].ids, "<u4")
         pieces = np.array([1 + len(found[i][1]) for i in plain], int)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != pieces.sum():  # some chunk was not as plain as it looked
@@ -73,12 +74,14 @@ class WordIds:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
         unknown = set().union(*split).difference(self.known)
-        if len(unknown) + len(self.known) > CACHE:
-            self.known.clear()
+        if len(unknown) + len(self.known) > CACHE:  # a new generation takes over what is met again
+            self.before, self.known = self.known, {}
             unknown = set().union(*split)
-        unknown = list(unknown)
-        for i in range(0, len(unknown), 50_000):
-            self.learn(unknown[i : i + 50_000])
+        again = unknown.intersection(self.before)
+        self.known.update((c, self.before[c]) for c in again)
+        new = list(unknown - again)
+        for i in range(0, len(new), 50_000):
+            self.learn(new[i : i + 50_000])
         ids = self.known.__getitem__
         return [b"".join(map(ids, chunks)) for chunks in split]
 
