@@ -17,6 +17,8 @@ K, SCALE = 20, 64
 BLOCK, QUERIES, RUN = 1024, 1024, 64
 #: Bounds are rounded values; they are widened by this much of the product of lengths.
 SLACK = 1e-9
+#: The score of a pruned pair or an empty place. Its negation is itself, so sort keys must treat it apart.
+NONE = np.iinfo(np.int64).min
 
 
 def usable(embedding: Column) -> Column:
@@ -112,16 +114,16 @@ def scan(query: np.ndarray, found: list[tuple[float, list, np.ndarray]], rotatio
         # whole numbers below 2^53 are exact in double precision, which multiplies much faster
         small = np.abs(query).max(initial=0) * np.abs(m).max(initial=0) * width < 2**53
         exact = (query[live[rows]].astype(float) @ m[cols].astype(float).T).astype(np.int64) if small else query[live[rows]] @ m[cols].T
-        got = np.where(reach[np.ix_(rows, cols)], exact, np.iinfo(np.int64).min)
+        got = np.where(reach[np.ix_(rows, cols)], exact, NONE)
         ids_of = own[cols]
         at = live[rows]
         all_scores = np.concatenate([scores[at], got], axis=1)
         all_ids = np.concatenate([ids[at], np.broadcast_to(ids_of, got.shape)], axis=1)
-        best = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+        best = np.lexsort((all_ids, np.where(all_scores == NONE, np.iinfo(np.int64).max, -all_scores)), axis=1)[:, :k]
         wide = best.shape[1]
         if scores.shape[1] < wide:
             grow = wide - scores.shape[1]
-            scores = np.concatenate([scores, np.full((n, grow), np.iinfo(np.int64).min)], axis=1)
+            scores = np.concatenate([scores, np.full((n, grow), NONE)], axis=1)
             ids = np.concatenate([ids, np.full((n, grow), np.iinfo(np.int64).max)], axis=1)
         scores[at[:, None], np.arange(wide)] = np.take_along_axis(all_scores, best, 1)
         ids[at[:, None], np.arange(wide)] = np.take_along_axis(all_ids, best, 1)
@@ -174,7 +176,7 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, vec_id:
         b = b.sort_values("longest", ascending=False)
         found = [(x.longest, np.array([NO_ID if i is None or i != i else int(i) for i in x.ids], np.int64), _unpack(x.m, width)) for x in b.itertuples()]
         scores, ids = scan(query, found, rotation, keep)
-        ok = scores != np.iinfo(np.int64).min
+        ok = scores != NONE
         at = np.nonzero(ok)[0]
         qid = np.array([int(i) for i in a["ids"].iloc[0]], np.int64)
         return pd.DataFrame({"qb": np.full(len(at), a["qb"].iloc[0]), "q": at, "query_id": qid[at], "vec_id": pd.array(ids[ok], "Int64").astype("Int64"), "score": scores[ok], "own": (query * query).sum(1)[at]})

@@ -94,6 +94,23 @@ def test_topk_against_brute_force(spark):
     assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
 
 
+@pytest.mark.parametrize("size", [64, 1024])
+def test_scan_prunes_nothing_that_counts(size):
+    rng = np.random.default_rng(8)
+    v = rng.normal(0, 1, (6 * size, 32)) * np.sort(rng.uniform(0.2, 1, 6 * size))[::-1, None]
+    v = np.floor(64 * v / np.linalg.norm(v, axis=1).mean()).astype(np.int64)
+    v = v[np.argsort(-np.linalg.norm(v, axis=1), kind="stable")]
+    ids = rng.permutation(len(v))
+    found = [(float(np.linalg.norm(v[i : i + size], axis=1).max()), ids[i : i + size], v[i : i + size]) for i in range(0, len(v), size)]
+    query = v[rng.choice(len(v), 40, replace=False)]
+    rotation = np.linalg.svd((v.T @ v).astype(float))[0]
+    scores, got = topk.scan(query, found, rotation, 21)
+    products = query @ v.T
+    for q, row in enumerate(products):
+        best = np.lexsort((ids, -row))[:21]
+        assert scores[q].tolist() == row[best].tolist() and got[q].tolist() == ids[best].tolist()
+
+
 def test_topk_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert rows(topk.top_inner_products(df, F.col("vec_id") % 20 == 0)) == []
