@@ -29,12 +29,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one whose id names the group; of repeated rows of it, one."""
+    """One document of each group of near duplicates: the one with the group's smallest id (null only if all are null).
+
+    Groups are told apart by their root fingerprint, so documents that share an id, or have none, stay if their texts
+    are not near. Of several texts with the smallest id one is kept, of repeated rows of it one.
+    """
     hashed = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    groups = simhash.near_duplicates(hashed, keep=("th",))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.min("th").alias("h"))
+    groups = simhash.near_duplicates(hashed, keep=("th",), root=True)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", F.col("doc_id").alias("id")).agg(F.min("th").alias("h"))
     met = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")))
-    return met.select(*COLUMNS).dropDuplicates(["doc_id"])
+    return met.dropDuplicates(["root"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +46,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents stay whole, and a source's words come near its target; documents without words stay as they are.
     """
-    numbered = stored(docs.select(*COLUMNS), "mixed")
-    taken = mixing.taken_words(*mixing.mix_sources(numbered))
-    times = taken.groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("opens"))).cast("int").alias("times"))
-    met = numbered.join(times.select(F.col("doc_id").alias("id"), "times"), F.col("doc_id").eqNullSafe(F.col("id")))
-    return met.where("times > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*COLUMNS)
+    numbered = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "mixed")  # ids may be null or repeated
+    taken = mixing.taken_words(*mixing.mix_sources(numbered, keep=("row",)), keep=("row",))
+    times = taken.select("row", F.when(F.col("size") == 0, 1).otherwise(F.col("opens")).cast("int").alias("times"))
+    met = numbered.join(times, "row").where("times > 0")
+    return met.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

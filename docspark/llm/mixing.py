@@ -84,20 +84,20 @@ def slot_schedule(sources: DataFrame, block_words: int = BLOCK) -> DataFrame:
     return out.select("slot", "sid", block.alias("block"), words.cast("long").alias("words")).where(F.col("words") > 0)
 
 
-def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sources, slots, pieces): the targets, the schedule, and where each document's words lie in the blocks.
 
     A source's documents, in the order of a hash of their id, laid end to end are its stream of words, cut into blocks
     of block_words. pieces has a row for each document and block that it touches (block null where a document has no
     words): doc_id, source, sid, chunk, rn (chunk and rn name the row within its source), size, block, start (word in
-    the block), length, first (word of the document). Reading slots in order, each with its block's pieces cut to the
+    the block), length, first (word of the document), and the columns named in keep. Reading slots in order, each with its block's pieces cut to the
     slot's words, gives the mix.
 
     Null texts have size 0; a null source is a source of its own, the last; rows of one doc_id are separate documents;
-    columns other than the three named are not read. An empty table gives empty results; if no document has words all
+    columns other than the three named and those in keep are not read. An empty table gives empty results; if no document has words all
     targets are 0.
     """
-    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *keep)
     sizes = stored(sizes.withColumn("h", shuffle_key(F.col("doc_id"))), "sizes")
     chunks = sizes.count() // CHUNK + 1
     sources = stored(source_targets(sizes, weights, share, cap), "sources")
@@ -110,11 +110,11 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     first = F.greatest(F.col("block") * block_words - F.col("o"), F.lit(0).cast("long"))
     start = F.col("o") + F.col("first") - F.col("block") * block_words
     pieces = pieces.withColumn("first", first).withColumn("start", start).withColumn("length", F.least(F.col("size") - F.col("first"), F.lit(block_words) - F.col("start")))
-    return sources, slot_schedule(sources, block_words), pieces.select("doc_id", "source", "sid", "chunk", "rn", "size", "block", "start", "length", "first")
+    return sources, slot_schedule(sources, block_words), pieces.select("doc_id", "source", "sid", "chunk", "rn", "size", "block", "start", "length", "first", *keep)
 
 
-def taken_words(sources: DataFrame, slots: DataFrame, pieces: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and opens: what the slots take of each document.
+def taken_words(sources: DataFrame, slots: DataFrame, pieces: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, opens and the columns named in keep: what the slots take of each document.
 
     taken counts words, repeats included; opens counts how often a slot takes the document's first word.
     """
@@ -123,8 +123,8 @@ def taken_words(sources: DataFrame, slots: DataFrame, pieces: DataFrame) -> Data
     cut = lambda w: F.greatest(F.least(w - F.col("start"), F.col("length")), F.lit(0).cast("long"))
     met = met.withColumn("got", F.aggregate(F.coalesce("words", F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda acc, w: acc + cut(w)))
     opens = F.when(F.col("first") == 0, F.size(F.filter(F.coalesce("words", F.array().cast("array<bigint>")), lambda w: w > F.col("start")))).otherwise(0)
-    docs = met.groupBy("sid", "chunk", "rn", "doc_id", "size").agg(F.sum("got").alias("taken"), F.sum(opens).alias("opens"))
-    return docs.join(sources.select("sid", "source", "source_size", "target"), "sid").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("opens", F.lit(0)).cast("long").alias("opens"))
+    docs = met.groupBy("sid", "chunk", "rn", "doc_id", "size", *keep).agg(F.sum("got").alias("taken"), F.sum(opens).alias("opens"))
+    return docs.join(sources.select("sid", "source", "source_size", "target"), "sid").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("opens", F.lit(0)).cast("long").alias("opens"), *keep)
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,10 +160,11 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), root: bool = False) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links, itself included) and the columns named in keep.
 
-    A row for each input row.
+    A row for each input row. With ``root`` also root, a fingerprint that names the component, which component_id does
+    not where ids are null or repeated.
 
     Texts without words have fingerprint 0 and are linked like any other. A null text is empty. Rows of one doc_id are
     separate documents; a null doc_id is never a component's smallest unless it has no other (component_id is null
@@ -177,9 +178,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = connected_components(similar_fingerprints(smallest.select("fp"))).withColumnRenamed("node", "fp")
     linked = stored(roots.join(smallest, "fp"), "linked")
     of_root = linked.groupBy("root").agg(F.min("d").alias("component_id"))
-    of_fp = linked.join(of_root, "root").select("fp", "component_id")
-    all_fps = smallest.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "d").alias("component_id"))
-    return own.join(all_fps, "fp").select("doc_id", "fp", "component_id", *keep)
+    of_fp = linked.join(of_root, "root").select("fp", "root", "component_id")
+    all_fps = smallest.join(of_fp, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "d").alias("component_id"))
+    return own.join(all_fps, "fp").select("doc_id", "fp", "component_id", *keep, *["root"] * root)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
