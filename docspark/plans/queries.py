@@ -111,6 +111,12 @@ def normalize_text(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(text.normalize(c)).alias("norm"), F.length(text.digits(c)).alias("n_digits"), F.md5(text.squash_confusable(F.substring(c, 1, 400))).alias("squashed"))
 
 
+@query(r"""SELECT doc_id, md5(translate(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '0q1lj582697', 'ooiiisbzggt')) AS squashed FROM documents""")
+def squash_text(spark, d):
+    """normalize_text's SQL fixes its squashed column to the first 400 characters; this is the whole text."""
+    return t(spark, d, "documents").select("doc_id", F.md5(text.squash_confusable(F.col("text"))).alias("squashed"))
+
+
 @query(r"""SELECT p_partkey, translate(p_name, 'aeiou', 'AEIOU') AS shown, position('e' IN lower(p_name))::INT AS at,
   regexp_replace(p_name || '.pdf', '\.[^.]*$', '') AS stem FROM part""")
 def string_helpers(spark, d):
