@@ -73,15 +73,14 @@ def read_back(turns: DataFrame) -> DataFrame:
     """Digests of each conversation, parsed from its formatted text as it streams by, with the examples' loss masks.
 
     conv_id, n_turns, turns_sha256 (of role, newline, text, newline per turn), loss_chars, loss_sha256 (of all text under
-    the masks, unescaped), formatted_chars.
+    the masks, unescaped), formatted_chars. The masks are the rows of prefix_targets; each follows its turn's text.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    mask = F.when(F.col("role") == TRAINED, F.struct(F.col("head").alias("start"), (F.length("segment") - len(TURN_END)).alias("end")))
     kind = dict(turns.dtypes)["conv_id"]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = object()
-        key, n, whole, loss, chars, size = none, 0, hashlib.sha256(), hashlib.sha256(), 0, 0
+        key, n, whole, loss, chars, size, last = none, 0, hashlib.sha256(), hashlib.sha256(), 0, 0, ""
 
         def row(done: list[tuple]) -> None:
             if key is not none:
@@ -95,23 +94,26 @@ def read_back(turns: DataFrame) -> DataFrame:
         key_type = None
         for batch in batches:
             key_type, done = batch.schema.field(0).type, []
-            for conv, segment, target in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for conv, segment, start, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if key is none or conv != key:
                     row(done)
-                    key, n, whole, loss, chars, size = conv, 0, hashlib.sha256(), hashlib.sha256(), 0, 0
-                head, text = segment[len(START) : -len(TURN_END)].split(ROLE_END)
-                whole.update(f"{unescape(head)}\n{unescape(text)}\n".encode("utf-8", "surrogatepass"))
-                n, size = n + 1, size + len(segment)
-                if target:
-                    learned = unescape(segment[target["start"] : target["end"]])
+                    key, n, whole, loss, chars, size, last = conv, 0, hashlib.sha256(), hashlib.sha256(), 0, 0, ""
+                if segment is None:  # an example: its offsets count from the conversation's start
+                    learned = unescape(last[start - size + len(last) : end - size + len(last)])
                     loss.update(learned.encode("utf-8", "surrogatepass"))
                     chars += len(learned)
+                    continue
+                head, text = segment[len(START) : -len(TURN_END)].split(ROLE_END)
+                whole.update(f"{unescape(head)}\n{unescape(text)}\n".encode("utf-8", "surrogatepass"))
+                n, size, last = n + 1, size + len(segment), segment
             yield out(done)
         if key_type is not None:
-            row(last := [])
-            yield out(last)
+            row(done := [])
+            yield out(done)
 
-    own = turns.select("conv_id", "segment", mask.alias("mask"), "seq").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    said = turns.select("conv_id", "segment", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "seq")
+    examples = prefix_targets(turns).select("conv_id", F.lit(None).cast("string").alias("segment"), F.col("target_start").alias("start"), F.col("target_end").alias("end"), "seq")
+    own = said.unionByName(examples).repartition("conv_id").sortWithinPartitions("conv_id", "seq", F.col("start").asc_nulls_first())
     return own.drop("seq").mapInArrow(parse, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

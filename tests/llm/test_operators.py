@@ -145,6 +145,16 @@ def test_chat_round_trip_and_masks(spark):
         assert not re.search(r"</?s>|\[/?INST\]", r["text"])
 
 
+def test_chat_masks_come_from_the_examples(spark, monkeypatch):
+    data = [(c, i, "user" if i % 2 == 0 else "assistant", f"turn {i} of {c}") for c in (1, 2) for i in range(6)]
+    turns = chat.format_turns(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+    own = chat.prefix_targets
+    monkeypatch.setattr(chat, "prefix_targets", lambda turns: own(turns).where("example = 1"))
+    for r in rows(chat.read_back(turns)):
+        learned = f"turn 3 of {r['conv_id']}"
+        assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (6, len(learned), hashlib.sha256(learned.encode()).hexdigest())
+
+
 def test_chat_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert rows(chat.read_back(chat.format_turns(df))) == []
