@@ -456,20 +456,25 @@ def resegmentation(spark, d):
 
 @query("""SELECT b.item_id, d.doc_id FROM benchmark b, documents d WHERE contains(lower(regexp_replace(d.text, '\\s+', ' ', 'g')), lower(regexp_replace(regexp_replace(b.text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')))""".replace("\\\\", "\\"))
 def find_value_exact(spark, d):
-    """Benchmark passages in documents: both split to word five-grams of the passage's start, then verified whole."""
-    b = t(spark, d, "benchmark").select("item_id", text.normalize(F.col("text")).alias("v")).where("v <> ''")
+    """Benchmark passages in documents: met by three inner words, then verified whole; short passages are tried on each document."""
+    b = t(spark, d, "benchmark").select("item_id", text.normalize(F.col("text")).alias("v"))
     docs = t(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("x"))
     return _passages(b, docs)
 
 
 def _passages(b: DataFrame, docs: DataFrame) -> DataFrame:
-    """An equi-join on inner words of a passage, each whole in the document too, and then the containment."""
+    """An equi-join on inner words of a passage, each whole in the document too, and then the containment.
+
+    Passages of fewer than five words have no three inner words, so those are compared with every document.
+    """
     inner = lambda c: F.split(c, " ")
     keyed = b.withColumn("k", F.array_join(F.slice(inner(F.col("v")), 2, 3), " "))
     words = docs.withColumn("w", inner(F.col("x")))
     grams = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(3)), " ")))).alias("k"))
     found = keyed.where(F.size(inner(F.col("v"))) >= 5).join(grams, "k").select("item_id", "v", "doc_id").distinct()
-    return found.join(docs, "doc_id").where(F.contains("x", F.col("v"))).select("item_id", "doc_id")
+    short = keyed.where(F.size(inner(F.col("v"))) < 5).select("item_id", "v")
+    met = found.join(docs, "doc_id").where(F.contains("x", F.col("v"))).select("item_id", "doc_id")
+    return met.unionByName(short.join(docs, F.contains("x", F.col("v"))).select("item_id", "doc_id"))
 
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name)::INT AS distance FROM part a JOIN part b ON a.p_partkey + 1 = b.p_partkey""")
@@ -482,7 +487,7 @@ def edit_distance(spark, d):
 @query()
 def line_alignment(spark, d):
     b = t(spark, d, "benchmark").select("item_id", F.split("text", " ").alias("x"))
-    return b.select("item_id", F.explode(align.line_alignment(F.col("x"), F.slice("x", 2, 100))).alias("p")).select("item_id", "p.a", "p.b")
+    return b.select("item_id", F.explode(align.line_alignment(F.col("x"), F.slice("x", F.lit(2), F.size("x")))).alias("p")).select("item_id", "p.a", "p.b")
 
 
 # --- F4: search; E10-E12, H12, H13: chunks and trees ------------------------------------------------------------------
