@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,20 +20,43 @@ from docspark.llm.common import stored, table
 CAPACITY, EOS = 4096, 1
 #: Lengths are fitted in steps of UNIT tokens, in patterns of up to PATTERN_DOCS documents.
 UNIT, PATTERN_DOCS = 64, 4
-#: Chunks of text whose ids a worker remembers; then it starts anew.
-CACHE = 600_000
+#: Keys whose ids a worker remembers; the older half of what it knows goes when that many are new.
+CACHE = 500_000
+#: Bytes of text, and words new to a worker, that are worked on at a time. Longer texts go whole, by themselves.
+SLICE, NEW = 8 << 20, 50_000
 
+#: Chunks whose ids are those of a lower-case word and then those of ASCII marks: composed letters, no apostrophe.
+PLAIN = "^(?P<word>[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)(?P<marks>[!-&(-/:-@[-`{-~]*)$"
 
-#: Chunks of which the number of pieces is plain: letters (composed ones only), perhaps one mark after them.
-PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+([.,;:!?]?)")
+
+class Memory:
+    """What ``learn`` (a list of new keys to their values) said of each key, in two generations of bounded size."""
+
+    def __init__(self, learn: Callable[[list[str]], Iterable[bytes]], size: int) -> None:
+        self.learn, self.size = learn, size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, keys: list[str]) -> list[bytes]:
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = [k for k in keys if k not in young]
+        young.update((k, old[k]) for k in missing if k in old)
+        new = [k for k in missing if k not in young]
+        for i in range(0, len(new), NEW):
+            young.update(zip(new[i : i + NEW], self.learn(new[i : i + NEW]), strict=True))
+        return list(map(young.__getitem__, keys))
 
 
 class WordIds:
-    """Token ids of whole texts, as little-endian 32-bit bytes.
+    """Token ids of whole texts.
 
-    The tokenizer's pieces never reach over white space, so a text's ids are those of its white-space separated
-    chunks in a row, and each distinct chunk is encoded once. Plain new chunks are encoded as one text, whose ids
-    part where a token ends a piece; all others one by one. A worker keeps what it knows from task to task.
+    The tokenizer's pieces never reach over white space, so a text's ids are those of its white-space separated chunks
+    in a row. Arrow splits a slice of texts, finds its distinct chunks and parts the plain ones into a lower-case word
+    and marks. Only distinct words are looked up, and those that a worker does not know are encoded, many in one text,
+    whose ids part where a token ends a word; marks and other chunks are encoded one by one. What a worker knows it
+    keeps from task to task.
     """
 
     workers: ClassVar[dict[str, WordIds]] = {}
@@ -46,8 +69,7 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        self.words, self.others = Memory(self.of_words, CACHE), Memory(self.one_by_one, CACHE)
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -55,35 +77,49 @@ class WordIds:
             cls.workers[path] = cls(path)
         return cls.workers[path]
 
-    def learn(self, chunks: list[bytes]) -> None:
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        found = [PLAIN.fullmatch(t) for t in texts]
-        plain = [i for i, m in enumerate(found) if m]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in plain)], add_special_tokens=False)[0].ids, "<u4")
-        pieces = np.array([1 + len(found[i][1]) for i in plain], int)
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != pieces.sum():  # some chunk was not as plain as it looked
-            plain, ids, pieces, ends, found = [], ids[:0], pieces[:0].astype(int), ends[:0], [None] * len(chunks)
-        ends = [0, *(4 * ends[np.cumsum(pieces) - 1]).tolist()]
+    def one_by_one(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) != len(words):  # some word was not as plain as it looked
+            return self.one_by_one(words)
         raw = ids.tobytes()
-        self.known.update(zip((chunks[i] for i in plain), (raw[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
-        rest = [i for i, m in enumerate(found) if not m]
-        encoded = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
-        self.known.update(zip((chunks[i] for i in rest), (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        unknown = set().union(*split).difference(self.known)
-        if len(unknown) + len(self.known) > CACHE:  # a new generation takes over what is met again
-            self.before, self.known = self.known, {}
-            unknown = set().union(*split)
-        again = unknown.intersection(self.before)
-        self.known.update((c, self.before[c]) for c in again)
-        new = list(unknown - again)
-        for i in range(0, len(new), 50_000):
-            self.learn(new[i : i + 50_000])
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, chunks)) for chunks in split]
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's begin and the last one's end); null texts have none."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        found = pc.extract_regex(coded.dictionary, PLAIN)
+        plain = found.is_valid()
+        word, marks = pc.utf8_lower(found.field("word").filter(plain)).dictionary_encode(), found.field("marks").filter(plain).dictionary_encode()
+        rest = coded.dictionary.cast(pa.large_binary()).filter(pc.invert(plain)).to_pylist()
+        units = [*self.words(word.dictionary.to_pylist()), *self.others(marks.dictionary.to_pylist()), *self.others([x.decode("utf-8", "replace") for x in rest]), b""]
+        # a chunk is two units, the second of which is empty if it is not plain
+        first = len(word.dictionary) + len(marks.dictionary)
+        two = np.full((len(coded.dictionary), 2), len(units) - 1, np.int32)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        two[is_plain, 0], two[is_plain, 1] = word.indices.to_numpy(), marks.indices.to_numpy() + len(word.dictionary)
+        two[~is_plain, 0] = np.arange(first, first + len(rest))
+        at = two[coded.indices.to_numpy()].ravel()
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        skip = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(units), "<u4")[np.repeat(skip[at] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[2 * (split.offsets.to_numpy() - split.offsets[0].as_py())]
+
+
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[pa.Array]:
+    """The texts in runs of up to so many bytes, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
 
 
 def word_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -98,21 +134,24 @@ def word_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
         seen: dict[int, int] = defaultdict(int)
         part = TaskContext.get().partitionId()
         for batch in batches:
-            column = batch.column(1).cast(pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary())
-            rows: list[tuple] = []
-            at: list[int] = []
-            for few in range(0, len(column), 64):
-                for i, whole in enumerate(encode([t.as_py() or b"" for t in column[few : few + 64]]), few):
-                    ids = memoryview(whole + end)
-                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                        own = ids[4 * start : 4 * (start + capacity)]
-                        n = len(own) // 4
-                        rows.append((piece, start, n, zlib.crc32(own), part, seen[n], *[bytes(own)] * with_ids))
+            row = 0
+            for some in slices(batch.column(1)):
+                rows: list[tuple] = []
+                at: list[int] = []
+                ids, bounds = encode(some)
+                raw = memoryview(ids.view(np.uint8))
+                for begin, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    total = stop - begin + 1
+                    for piece, start in enumerate(range(0, total, capacity)):
+                        n = min(capacity, total - start)
+                        own, closing = raw[4 * (begin + start) : 4 * min(begin + start + n, stop)], end * (start + n == total)
+                        rows.append((piece, start, n, zlib.crc32(closing, zlib.crc32(own)), part, seen[n], *[bytes(own) + closing] * with_ids))
                         seen[n] += 1
-                        at.append(i)
-            columns = list(zip(*rows, strict=True)) or [()] * (len(names) - 1)
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]], names=names)
+                        at.append(row)
+                    row += 1
+                columns = list(zip(*rows, strict=True))
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]], names=names)
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
     schema = f"doc_id {dict(own.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, part long, k long" + ", ids binary" * with_ids

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -450,8 +451,30 @@ def test_word_ids_equal_the_tokenizer():
     path = packing.default_tokenizer()
     tokenizer = Tokenizer.from_file(path)
     texts = ["It's he'll! 12,5 <|endoftext|> e\u0301a İstanbul ΣΑΣ", "a\u00a0b\u2003c", "naïve\tÉTÉ... x×y ﬁn ǅ", "\u0301 start", "Hello, world. ok!", "", "漢字🎉 <|startoftext|>x"]
-    for t, ids in zip(texts, packing.WordIds(path)([t.encode() for t in texts]), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    rng = np.random.default_rng(11)
+    signs = [*"abzABZ019 \t\n.,;'!?&_-<|>", "'s", "'ll", "\u2019t", "\u0301", "\u00e9", "\u00c9", "\u0130", "\u0131", "\u017f", "\u0149", "\u00df", "\u03a3", "\u03c3", "\u00a0", "\u2003", "\u6f22", "\U0001f389", "\u01c5", "\x0b", "\x1f", "\x85", "<|endoftext|>", "\u00d7", "\u0660", "\u00bd"]
+    texts += ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(4000)]
+    ids_of = packing.WordIds(path)
+    for own in packing.slices(pa.array([None, *texts]), 2000):
+        ids, bounds = ids_of(own)
+        for i, t in enumerate(own.to_pylist()):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_slices_hold_all_texts():
+    texts = [None, "", "a" * 30, "b" * 5, None, "c" * 5, "d"] * 3
+    got = list(packing.slices(pa.array(texts), 10))
+    assert [t for s in got for t in s.to_pylist()] == texts
+    assert all(len(s) == 1 or sum(len(t or "") for t in s.to_pylist()) <= 10 for s in got)
+    assert not list(packing.slices(pa.array([], pa.string())))
+
+
+def test_memory_keeps_two_generations():
+    asked = []
+    memory = packing.Memory(lambda keys: [asked.append(k) or k.encode() for k in keys], 3)
+    for keys in (["a", "b"], ["b", "c", "d"], ["a", "e"], ["f", "g", "h"], ["a", "b"], ["z"]):
+        assert memory(keys) == [k.encode() for k in keys]
+    assert asked == ["a", "b", "c", "d", "e", "f", "g", "h", "b", "z"]
 
 
 @pytest.mark.parametrize("seed", range(4))
