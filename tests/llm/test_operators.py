@@ -112,6 +112,43 @@ def test_scan_prunes_nothing_that_counts(size):
         assert scores[q].tolist() == row[best].tolist() and got[q].tolist() == ids[best].tolist()
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_topk_of_many_runs(spark, alike):
+    rng = np.random.default_rng(9)
+    v = rng.normal(0, 1, (9000, 12))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v = (v if alike else v * rng.uniform(0.05, 3, 9000)[:, None] ** 2).astype("f4")
+    v[4000:5000] = v[4000]  # a third of a block and more of one vector
+    df = spark.createDataFrame([(i if i != 40 else None, x.tolist(), i) for i, x in enumerate(v)], "vec_id long, embedding array<float>, n int").repartition(5)
+    got = rows(topk.top_inner_products(df, F.col("n") % 20 == 0, run=1500))
+    m = np.floor(v.astype(float) * 64).astype(int)
+    ids = np.array([2**62 if i == 40 else i for i in range(9000)])
+    want = set()
+    for q in range(0, 9000, 20):
+        s = m @ m[q]
+        s[q] = -(2**40)
+        want.update((None if q == 40 else q, r + 1, None if j == 40 else int(j), int(s[j])) for r, j in enumerate(np.lexsort((ids, -s))[:20]))
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want and len(got) == 450 * 20
+
+
+def test_topk_moves_in_proportion(spark):
+    rng = np.random.default_rng(10)
+    moved = []
+    for n in (40_000, 80_000):
+        blocks = spark.range(n // 1024).select(F.col("id").alias("block"), F.col("id").alias("ids"), F.lit(b"").alias("m"), (2 - F.col("id") / (n // 1024)).alias("longest"), F.floor(F.col("id") / 16).alias("run"))
+        queries = spark.range(n // 20 // 1024 + 1).select(F.lit(0).cast("long").alias("grp"), *[F.col("id").alias(c) for c in ("keys", "ids", "own", "least", "m")], F.lit(float(rng.uniform(0, 0.1))).alias("need"))
+        moved.append([x.count() for x in topk.tiles(blocks, queries)])
+        assert moved[-1] == [(n // 20 // 1024 + 1) * -(-(n // 1024) // 16), n // 1024]
+    near = [x.count() for x in topk.tiles(blocks, queries.withColumn("need", F.lit(1.9)))]
+    assert near[1] < moved[1][1] / 4 and near[0] < moved[1][0] / 2  # short vectors stay where they are
+
+
+def test_topk_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [1e9, 1.0]), (1, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64-bit"):
+        topk.top_inner_products(df, F.col("vec_id") == 0)
+
+
 def test_topk_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert rows(topk.top_inner_products(df, F.col("vec_id") % 20 == 0)) == []
