@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import table
+from docspark.llm.common import stored, table
 
 #: The markers of a turn, and control strings of other templates that texts must not smuggle in either.
 START, ROLE_END, TURN_END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 CONTROL = r"(<)(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|/?s>)|(\[)(\\*)(/?INST\]|/?SYS\])"
 ESCAPED = r"(<)\\(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|/?s>)|(\[)\\(\\*)(/?INST\]|/?SYS\])"
 TRAINED = "assistant"
+#: Code points of a stored part of a conversation's text.
+PART = 65536
 
 
 def escape(text: Column) -> Column:
@@ -32,21 +35,28 @@ def unescape(text: str) -> str:
 
 
 def format_turns(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A row per turn: conv_id, seq (from 1), role, segment (its formatted text) and begin (its offset in the conversation).
+    """A row per turn: conv_id, seq (from 1), role, segment (its formatted text), begin (its offset in the conversation),
+    head (code points before its text) and replies (assistant turns before it).
 
     The segments of a conversation, in order, are its formatted text. Rows go by turn (null first), then role and text;
     repeated rows are repeated turns. A null text or role is empty; rows whose conv_id is null are one conversation.
     Other columns are not read. An empty table gives an empty result.
 
-    Texts are escaped before the shuffle; the windows run in order with one row at a time, so a conversation of any
-    length needs no memory of its own.
+    Turns are dealt by ranges of (conv_id, turn, role, text's beginning), so a conversation of any length spreads over
+    tasks; sums of each range, one small row, carry the offsets from one to the next.
     """
     own = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit(ROLE_END))
     own = own.select("conv_id", "turn", "role", F.concat(head, escape(F.col("text")), F.lit(TURN_END)).alias("segment"), F.length(head).alias("head"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "segment")
-    up_to = order.rowsBetween(Window.unboundedPreceding, 0)
-    return own.select("conv_id", F.row_number().over(order).alias("seq"), "role", "segment", (F.sum(F.length("segment").cast("long")).over(up_to) - F.length("segment")).alias("begin"), "head")
+    ranges = own.repartitionByRange("conv_id", "turn", "role", F.substring("segment", 1, 128)).withColumn("chunk", F.spark_partition_id())
+    own = stored(ranges, "turns").withColumn("size", F.length("segment").cast("long")).withColumn("reply", (F.col("role") == TRAINED).cast("long"))
+    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy("conv_id", "chunk").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.sum("reply").alias("r"))
+    sums = sums.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in "nsr"])
+    within = Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "segment")
+    up_to = within.rowsBetween(Window.unboundedPreceding, 0)
+    met = own.join(sums, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")))
+    return met.select("conv_id", (F.col("n") + F.row_number().over(within)).alias("seq"), "role", "segment", (F.col("s") + F.sum("size").over(up_to) - F.col("size")).alias("begin"), "head", (F.col("r") + F.sum("reply").over(up_to) - F.col("reply")).alias("replies"))
 
 
 def prefix_targets(turns: DataFrame) -> DataFrame:
@@ -57,9 +67,20 @@ def prefix_targets(turns: DataFrame) -> DataFrame:
     of a conversation share one formatted text, so long conversations do not grow with the square of their turns.
     """
     start = F.col("begin") + F.col("head")
-    return turns.where(F.col("role") == TRAINED).select(
-        "conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("seq")) - 1).alias("example"), "seq", start.alias("target_start"), (F.col("begin") + F.length("segment") - len(TURN_END)).alias("target_end")
-    )
+    return turns.where(F.col("role") == TRAINED).select("conv_id", F.col("replies").alias("example"), "seq", start.alias("target_start"), (F.col("begin") + F.length("segment") - len(TURN_END)).alias("target_end"))
+
+
+def conversation_texts(turns: DataFrame, part: int = PART) -> DataFrame:
+    """conv_id, part (from 0), text: each conversation's formatted text, cut after every ``part`` code points, not at turns.
+
+    A row gathers at most ``part`` code points, so long turns and long conversations spread over rows and tasks.
+    """
+    last = F.col("begin") + F.length("segment") - 1
+    cut = turns.select("conv_id", "begin", "segment", F.explode(F.sequence(F.floor(F.col("begin") / part), F.floor(last / part))).alias("part"))
+    skip = F.greatest(F.col("part") * part - F.col("begin"), F.lit(0).cast("long"))
+    piece = F.substring("segment", (skip + 1).cast("int"), ((F.col("part") + 1) * part - F.col("begin") - skip).cast("int"))
+    pieces = cut.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("begin", piece.alias("piece")))).alias("x"))
+    return pieces.select("conv_id", "part", F.array_join("x.piece", "").alias("text"))
 
 
 def example_texts(turns: DataFrame) -> DataFrame:
@@ -69,52 +90,92 @@ def example_texts(turns: DataFrame) -> DataFrame:
     return prefix_targets(turns).join(texts, ["conv_id", "seq"]).select("conv_id", "seq", F.expr("substring(text, 1, int(target_end))").alias("text"), "target_start", "target_end")
 
 
-def read_back(turns: DataFrame) -> DataFrame:
-    """Digests of each conversation, parsed from its formatted text as it streams by, with the examples' loss masks.
+class Reader:
+    """One conversation as its formatted text streams by: turns by their markers, and the text under its loss masks."""
+
+    def __init__(self) -> None:
+        self.n, self.size, self.chars = 0, 0, 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.open: list[str] = []  # of a turn that has not ended, and what could begin its end
+        self.tail, self.masks = "", deque()
+        self.learned: list[str] = []
+
+    def mask(self, start: int, end: int) -> None:
+        self.masks.append((start, end))
+
+    def read(self, text: str) -> None:
+        while self.masks and self.masks[0][0] <= self.size + len(text):
+            start, end = self.masks[0]
+            self.learned.append(text[max(0, start - self.size) : end - self.size])
+            if end > self.size + len(text):
+                break
+            self.masks.popleft()
+            said = unescape("".join(self.learned))
+            self.learned = []
+            self.loss.update(said.encode("utf-8", "surrogatepass"))
+            self.chars += len(said)
+        self.size += len(text)
+        self.open.append(text)
+        if TURN_END in self.tail + text:
+            whole, at = "".join(self.open), 0
+            while (end := whole.find(TURN_END, at)) >= 0:
+                head, marked, said = whole[at:end].partition(ROLE_END)
+                if not marked or not head.startswith(START):
+                    raise ValueError("no turn begins where one has ended")
+                self.turns.update(f"{unescape(head[len(START) :])}\n{unescape(said)}\n".encode("utf-8", "surrogatepass"))
+                self.n, at = self.n + 1, end + len(TURN_END)
+            self.open, self.tail = [whole[at:]], ""
+            text = whole[at:]
+        self.tail = (self.tail + text)[1 - len(TURN_END) :]
+
+    def digests(self) -> tuple:
+        if any(self.open) or self.masks:
+            raise ValueError("a conversation ends within a turn or before a mask")
+        return self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.size
+
+
+def read_back(turns: DataFrame, part: int = PART) -> DataFrame:
+    """Digests of each conversation, read from its stored formatted text and the stored examples (prefix_targets).
 
     conv_id, n_turns, turns_sha256 (of role, newline, text, newline per turn), loss_chars, loss_sha256 (of all text under
-    the masks, unescaped), formatted_chars. The masks are the rows of prefix_targets; each follows its turn's text.
+    the examples' masks, unescaped), formatted_chars. Turns are found by their markers in the text, wherever its parts
+    were cut. Text streams through a task part by part, as the digests must follow a conversation in order.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     kind = dict(turns.dtypes)["conv_id"]
+    texts, examples = stored(conversation_texts(turns, part), "formatted"), stored(prefix_targets(turns), "examples")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = object()
-        key, n, whole, loss, chars, size, last = none, 0, hashlib.sha256(), hashlib.sha256(), 0, 0, ""
-
-        def row(done: list[tuple]) -> None:
-            if key is not none:
-                done.append((key, n, whole.hexdigest(), chars, loss.hexdigest(), size))
+        key, reader, key_type, done = None, None, None, []
 
-        def out(done: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*done, strict=True)) or [()] * 6
-            kinds = [key_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [()] * len(names)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [key_type, *kinds], strict=True)], names=names)
+            done.clear()
+            return batch
 
-        key_type = None
         for batch in batches:
-            key_type, done = batch.schema.field(0).type, []
-            for conv, segment, start, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if key is none or conv != key:
-                    row(done)
-                    key, n, whole, loss, chars, size, last = conv, 0, hashlib.sha256(), hashlib.sha256(), 0, 0, ""
-                if segment is None:  # an example: its offsets count from the conversation's start
-                    learned = unescape(last[start - size + len(last) : end - size + len(last)])
-                    loss.update(learned.encode("utf-8", "surrogatepass"))
-                    chars += len(learned)
-                    continue
-                head, text = segment[len(START) : -len(TURN_END)].split(ROLE_END)
-                whole.update(f"{unescape(head)}\n{unescape(text)}\n".encode("utf-8", "surrogatepass"))
-                n, size, last = n + 1, size + len(segment), segment
-            yield out(done)
-        if key_type is not None:
-            row(done := [])
-            yield out(done)
-
-    said = turns.select("conv_id", "segment", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "seq")
-    examples = prefix_targets(turns).select("conv_id", F.lit(None).cast("string").alias("segment"), F.col("target_start").alias("start"), F.col("target_end").alias("end"), "seq")
-    own = said.unionByName(examples).repartition("conv_id").sortWithinPartitions("conv_id", "seq", F.col("start").asc_nulls_first())
-    return own.drop("seq").mapInArrow(parse, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+            key_type = batch.schema.field(0).type
+            for conv, text, start, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if reader is None or conv != key:
+                    if reader:
+                        done.append((key, *reader.digests()))
+                    key, reader = conv, Reader()
+                if text is None:
+                    reader.mask(start, end)
+                else:
+                    reader.read(text)
+            yield out()
+        if reader:
+            done.append((key, *reader.digests()))
+            yield out()
+
+    said = texts.select("conv_id", "text", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "part")
+    masks = examples.select("conv_id", F.lit(None).cast("string").alias("text"), F.col("target_start").alias("start"), F.col("target_end").alias("end"), F.floor(F.col("target_start") / part).alias("part"))
+    # a mask comes before the part in which it begins
+    own = said.unionByName(masks).repartition("conv_id").sortWithinPartitions("conv_id", "part", F.col("start").asc_nulls_last())
+    return own.drop("part").mapInArrow(parse, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op3_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,6 +193,28 @@ def test_chat_masks_come_from_the_examples(spark, monkeypatch):
         assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (6, len(learned), hashlib.sha256(learned.encode()).hexdigest())
 
 
+@pytest.mark.parametrize("part", [1, 7, 64, 65536])
+def test_chat_is_parsed_wherever_it_is_cut(spark, part):
+    data = [(c, i, r, t) for c in (1, None) for i, (r, t) in enumerate(("assistant" if k % 3 else "us<|im_sep|>er", t) for k, t in enumerate(NASTY * 2))] + [(2, i, "assistant", "") for i in range(50)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(7)
+    turns = chat.format_turns(df)
+    assert sum(len(r["text"]) for r in rows(chat.conversation_texts(turns, part))) == sum(len(r["segment"]) for r in rows(turns))
+    for r in rows(chat.read_back(turns, part)):
+        own = [(x, t or "") for c, _, x, t in data if c == r["conv_id"]]
+        loss = "".join(t for x, t in own if x == "assistant")
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{x}\n{t}\n" for x, t in own).encode()).hexdigest()
+        assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert [r["example"] for r in sorted(rows(chat.prefix_targets(turns)), key=lambda r: r["seq"]) if r["conv_id"] == 2] == list(range(50))
+
+
+def test_chat_refuses_what_does_not_parse():
+    for text in ("<|im_start|>user<|im_sep|>x", "x<|im_end|>", "<|im_start|>user x<|im_end|>"):
+        with pytest.raises(ValueError):
+            r = chat.Reader()
+            r.read(text)
+            r.digests()
+
+
 def test_chat_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert rows(chat.read_back(chat.format_turns(df))) == []
