@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from docspark.llm.common import table
 from docspark.llm.labelled import held_out, training_sample
 
-#: Bounds of the training sample: documents of each class, and passages of a document, evenly spread.
-PER_CLASS, TRAIN_PASSAGES = 1500, 48
+#: Bounds of the training sample: documents of each class, and bytes of their texts.
+PER_CLASS, TRAIN_BYTES = 1500, 8 << 20
 PASSAGE_WORDS = 48
 #: Classes of bytes: other, space, newline, digit, capital, vowel, other letter, usual punctuation, other signs, inner and leading bytes of longer characters.
 CLASSES = 11
@@ -86,6 +86,18 @@ def forward(w: list[np.ndarray], x: np.ndarray, first: np.ndarray, doc: np.ndarr
     return p, h, t, s, a, z
 
 
+def gradients(w: list[np.ndarray], x: np.ndarray, first: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Of the mean weighted log loss, by each of w."""
+    p, h, t, s, a, z = forward(w, x, first, doc)
+    dl = weight * (p - y) / len(y)
+    dz = dl[:, None] * w[5]
+    da = (dz[doc] * h).sum(1)
+    de = a * (da - np.add.reduceat(a * da, first)[doc])
+    dt, ds = (de[:, None] * w[4]) * s * (1 - t * t), (de[:, None] * w[4]) * t * s * (1 - s)
+    dh = (a[:, None] * dz[doc] + dt @ w[2].T + ds @ w[3].T) * (1 - h * h)
+    return [x.T @ dh, dh.sum(0), h.T @ dt, h.T @ ds, (t * s).T @ de, z.T @ dl, np.array([dl.sum()])]
+
+
 def fit(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 40, batch: int = 64, rate: float = 3e-3, decay: float = 1e-3) -> AttentionModel:
     """Adam on the weighted log loss; the same model for the same bags in any order of rows with equal order of bags."""
     rng = np.random.default_rng(7)
@@ -100,16 +112,8 @@ def fit(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int =
             own = order[i : i + batch]
             sizes = np.array([len(bags[j]) for j in own])
             first, doc, x = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(own)), sizes), np.concatenate([bags[j] for j in own])
-            p, h, t, s, a, z = forward(w, x, first, doc)
-            dl = weight[own] * (p - y[own]) / len(own)
-            dz = dl[:, None] * w[5]
-            da = (dz[doc] * h).sum(1)
-            de = a * (da - np.add.reduceat(a * da, first)[doc])
-            dt, ds = (de[:, None] * w[4]) * s * (1 - t * t), (de[:, None] * w[4]) * t * s * (1 - s)
-            dh = (a[:, None] * dz[doc] + dt @ w[2].T + ds @ w[3].T) * (1 - h * h)
-            grads = [x.T @ dh, dh.sum(0), h.T @ dt, h.T @ ds, (t * s).T @ de, z.T @ dl, np.array([dl.sum()])]
             step += 1
-            for k, grad in enumerate(grads):
+            for k, grad in enumerate(gradients(w, x, first, doc, y[own], weight[own])):
                 m[k] = 0.9 * m[k] + 0.1 * grad
                 q[k] = 0.999 * q[k] + 0.001 * grad * grad
                 w[k] -= rate * (m[k] / (1 - 0.9**step) / (np.sqrt(q[k] / (1 - 0.999**step)) + 1e-8) + decay * w[k])
@@ -117,18 +121,13 @@ def fit(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> AttentionModel | None:
-    """Passages of the sampled documents are encoded on the executors; their vectors, at most 2 * per_class *
-    TRAIN_PASSAGES, reach the driver. None if a class has no labelled document."""
-    sample, (n0, n1) = training_sample(docs, labels, label, per_class)
+    """All passages of the sampled documents are encoded on the executors; their vectors, of 500 bytes for 48 words of
+    at most 2 * TRAIN_BYTES, reach the driver. None if a class has no labelled document."""
+    sample, (n0, n1) = training_sample(docs, labels, label, per_class, TRAIN_BYTES)
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                x = encode(text.encode())
-                if len(x) > TRAIN_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)]
-                out.append(x.astype("<f4").tobytes())
+            out = [encode(text.encode()).astype("<f4").tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["doc_id", "x", "label"])
 
     rows = sorted(sample.mapInArrow(passages, f"doc_id {dict(sample.dtypes)['doc_id']}, x binary, label int").collect(), key=lambda r: r["doc_id"])
