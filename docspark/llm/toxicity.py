@@ -15,14 +15,22 @@ from pyspark.sql import functions as F
 from docspark.llm.common import LOWER, UPPER, stored, table
 from docspark.llm.labelled import held_out, training_sample
 
-#: Bound of the training sample: documents of each class.
-PER_CLASS = 2500
-#: Word starts of these lengths (with the space before) are candidates for the dictionaries.
+#: Bounds of the training sample: documents of each class, and bytes of their texts.
+PER_CLASS, TRAIN_BYTES = 2500, 16 << 20
+#: Of the sampled documents one in so many calibrates what the others have built.
+CALIBRATES = 2
+#: Word starts of these lengths (with the space before) are weighed by class.
 LENGTHS = range(5, 11)
 #: Log odds from which a word start counts as one class's own, less two standard errors; documents that it needs.
 ODDS, SUPPORT = 1.3, 5
-SHARED_BYTES, CLASS_BYTES = 4096, 2048
+#: Bytes of the dictionaries: the zstandard dictionary trained on ordinary text that both open with, and what each
+#: class's own word starts may fill besides. Those beyond that, the lightest, do not raise a score.
+SHARED_BYTES, CLASS_BYTES = 16384, 4096
+#: Words of a long window; short ones are single words.
+PHRASE = 4
 LONGEST = 64
+#: Distances are counted from LOW (or less) to HIGH (or more).
+LOW, HIGH = -4, 8
 #: Stands after every window and in both dictionaries, so that short windows are compressed at all and alike.
 TAIL = b"\x02 .:=|=:. ..:=|=:. \x02"
 CACHE = 600_000
@@ -37,9 +45,22 @@ def windows(text: bytes) -> list[bytes]:
     return words
 
 
+def phrases(words: list[bytes], n: int = PHRASE) -> list[bytes]:
+    """Runs of n words, end to end; the last may be shorter."""
+    return [b" ".join(words[i : i + n]) for i in range(0, len(words), n)]
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The content of a zstandard dictionary trained on the samples; of too few for that, the samples themselves."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=32, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"\x01".join(sorted(set(samples)))[-size:]
+
+
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    how = zstandard.ZstdCompressionParameters(window_log=15, chain_log=14, hash_log=14, search_log=6, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    how = zstandard.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=16, search_log=6, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
     own.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=own, compression_params=how)
 
@@ -63,28 +84,38 @@ class Distance:
             _last = cls(toxic, ordinary)
         return _last
 
-    def __call__(self, window: bytes) -> int:
-        if (d := self.known.get(window)) is None:
+    def of_window(self, window: bytes) -> int:
+        whole = b" " + window + b" " + TAIL
+        return len(self.b.compress(whole)) - len(self.a.compress(whole))
+
+    def __call__(self, word: bytes) -> int:
+        if (d := self.known.get(word)) is None:
             if len(self.known) > CACHE:
                 self.known.clear()
-            whole = b" " + window + TAIL
-            d = self.known[window] = len(self.b.compress(whole)) - len(self.a.compress(whole))
+            d = self.known[word] = self.of_window(word)
         return d
 
     def counts(self, text: bytes) -> np.ndarray:
-        """Number of windows at each distance from 0 (or less) to 7 (or more)."""
-        own = np.fromiter(map(self, windows(text)), np.int64)
-        return np.bincount(np.clip(own, 0, 7), minlength=8)
+        """Number of windows at each distance from LOW to HIGH: of words, then of phrases."""
+        words = windows(text)
+        both = np.fromiter(map(self, words), np.int64), np.fromiter(map(self.of_window, phrases(words)), np.int64)
+        return np.concatenate([np.bincount(np.clip(x, LOW, HIGH) - LOW, minlength=BINS) for x in both])
 
 
 _last: Distance | None = None
+BINS = HIGH - LOW + 1
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    """Per document: greatest distance, and for each threshold from 1 to 6 how many windows reach it, outright and among all."""
-    over = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1][:, 1:7]
-    most = np.where(counts > 0, np.arange(8), 0).max(1)
-    return np.column_stack([most / 4.0, np.log1p(over), np.sqrt(over / np.maximum(counts.sum(1, keepdims=True), 10))])
+    """Per document, for words and for phrases: the greatest distance; for each threshold above 0 how many windows reach
+    it, outright and among all; for each below 0 how many among all fall to it."""
+    out = []
+    for c in (counts[:, :BINS], counts[:, BINS:]):
+        every = np.maximum(c.sum(1, keepdims=True), 10)
+        over, under = np.cumsum(c[:, ::-1], axis=1)[:, ::-1][:, 1 - LOW :], np.cumsum(c, axis=1)[:, :-LOW]
+        most = np.where(c > 0, np.arange(LOW, HIGH + 1), np.where(c.sum(1, keepdims=True) > 0, LOW, 0)).max(1)
+        out += [most / 4.0, np.log1p(over), np.sqrt(over / every), np.sqrt(under / every)]
+    return np.column_stack(out)
 
 
 @dataclass
@@ -114,25 +145,20 @@ def _word_starts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("start").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("ordinary"))
 
 
-def choose(found: list[tuple[bytes, int]], size: int) -> list[bytes]:
-    """Word starts of most weight (documents times length), none of which starts another, up to size bytes."""
+def cover(found: list[tuple[bytes, int]], size: int) -> bytes:
+    """Word starts of most weight (documents times length), none of which starts another, up to size bytes, the heaviest last."""
     out: list[bytes] = []
     heads: set[bytes] = set()
-    kept: set[bytes] = set()
     used = 0
     for g, n in sorted(found, key=lambda x: (-x[1] * (len(x[0]) - 3), x[0])):
-        if g in heads or any(g[:k] in kept for k in LENGTHS):
-            continue
-        if used + len(g) + 1 > size:
-            break
-        out.append(g)
-        kept.add(g)
-        heads.update(g[:k] for k in LENGTHS)
-        used += len(g) + 1
-    return out
+        if g not in heads and not any(g[:k] in out for k in LENGTHS) and used + len(g) < size:
+            out.append(g)
+            heads.update(g[:k] for k in LENGTHS)
+            used += len(g) + 1
+    return b"".join(g + b"\x01" for g in reversed(out))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Newton's method."""
     z = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(z.shape[1])
@@ -148,7 +174,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 def window_counts(docs: DataFrame, toxic: bytes, ordinary: bytes, keep: tuple[str, ...], model: ToxicityModel | None = None) -> DataFrame:
-    """The kept columns, counts (array of 8: see Distance.counts) and the model's score, of the column text, null as empty."""
+    """The kept columns, counts (see Distance.counts) and the model's score, of the column text, null as empty."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance.of(toxic, ordinary)
@@ -156,7 +182,7 @@ def window_counts(docs: DataFrame, toxic: bytes, ordinary: bytes, keep: tuple[st
             texts = batch.column(batch.num_columns - 1)
             texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
             counts = [distance.counts(t.as_py() or b"") for t in texts]
-            scores = model.scores(np.array(counts).reshape(-1, 8)) if model else np.zeros(len(counts))
+            scores = model.scores(np.array(counts).reshape(-1, 2 * BINS)) if model else np.zeros(len(counts))
             columns = [*[batch.column(i) for i in range(len(keep))], pa.array([c.tolist() for c in counts], pa.list_(pa.int64())), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "counts", "score"])
 
@@ -165,35 +191,36 @@ def window_counts(docs: DataFrame, toxic: bytes, ordinary: bytes, keep: tuple[st
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel | None:
-    """Dictionaries from word starts that set one class's sampled documents apart, then thresholds calibrated on the sample.
+    """A dictionary of each class, then thresholds calibrated on documents that had no part in the dictionaries.
 
-    Both dictionaries open with the same frequent word starts, so that they differ just in what sets the classes apart.
-    What reaches the driver is bounded by the sample: word starts of enough documents, and eight counts a document.
+    Both open with a dictionary that zstandard trains on the ordinary sample's text, so that ordinary windows are as
+    short by either; then come the word starts that set the own class's documents apart, as raw content. What reaches
+    the driver is bounded by the sample.
     None if a class has no labelled document.
     """
-    sample, (n0, n1) = training_sample(docs, labels, label, per_class)
-    sample = stored(sample, "toxicity")
-    size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    if not size.get(0) or not size.get(1):
+    sample, (n0, n1) = training_sample(docs, labels, label, per_class, TRAIN_BYTES)
+    sample = stored(sample.withColumn("calibrates", F.pmod(F.xxhash64(F.lit("calibrates"), "doc_id"), F.lit(CALIBRATES)) == 0), "toxicity")
+    size = {(r["label"], r["calibrates"]): r["count"] for r in sample.groupBy("label", "calibrates").count().collect()}
+    if not all(any((y, c) in size for c in (True, False)) for y in (0, 1)):
         return None
-    starts = stored(_word_starts(sample).where(F.greatest("toxic", "ordinary") >= SUPPORT), "starts")
-    frequent = [(bytes(r["start"]), r["ordinary"]) for r in starts.orderBy(F.col("ordinary").desc(), "start").limit(4096).collect()]
-    shared = choose(frequent, SHARED_BYTES)
-    ratio = F.log((F.col("toxic") + 0.5) / (size[1] + 1)) - F.log((F.col("ordinary") + 0.5) / (size[0] + 1))
+    if not all((y, c) in size for y in (0, 1) for c in (True, False)):  # too few for two parts: all rows do both
+        builds = calibrates = sample
+        n = {y: sum(size.get((y, c), 0) for c in (True, False)) for y in (0, 1)}
+        held = n
+    else:
+        builds, calibrates = sample.where("NOT calibrates"), sample.where("calibrates")
+        n, held = ({y: size[y, c] for y in (0, 1)} for c in (False, True))
+    odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("ordinary") + 0.5) / (n[0] + 1))
     error = 2 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("ordinary") + 0.5))
-    own = starts.withColumn("odds", ratio)
-    sure = lambda odds: own.where(odds - error >= ODDS)
-    net = lambda a, b: F.col(a) - 5 * F.col(b) * size[int(a == "toxic")] / size[int(b == "toxic")]
-    toxic, ordinary = (
-        choose([(bytes(r["start"]), r["net"]) for r in sure(odds).withColumn("net", net(a, b)).where("net > 0").orderBy(F.col("net").desc(), "start").limit(4096).collect()], CLASS_BYTES)
-        for odds, a, b in ((F.col("odds"), "toxic", "ordinary"), (-F.col("odds"), "ordinary", "toxic"))
-    )
-    pack = lambda parts: b"".join(x + b"\x01" for x in reversed(parts))
-    width = max(map(len, (pack(toxic), pack(ordinary))))
-    dictionaries = [pack(shared) + TAIL + pack(c).rjust(width, b"\x03") for c in (toxic, ordinary)]
-    rows = window_counts(sample, *dictionaries, ("label",)).collect()
+    sure = _word_starts(builds).where((F.greatest("toxic", "ordinary") >= SUPPORT) & (F.abs(odds) - error >= ODDS)).select("start", (odds > 0).cast("int").alias("label"), F.abs(F.col("toxic") - F.col("ordinary") * n[1] / n[0]).alias("docs")).collect()
+    text = [r["text"].encode() for r in builds.where("label = 0").select("text").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    shared = trained([b" " + p + b" " for t in text for p in phrases(windows(t), 2 * PHRASE)], SHARED_BYTES)
+    own = {y: cover([(bytes(r["start"]), r["docs"]) for r in sure if r["label"] == y], CLASS_BYTES) for y in (0, 1)}
+    width = max(map(len, own.values()))
+    dictionaries = [shared + TAIL + own[y].rjust(width, b"\x03") + b"\x01" for y in (1, 0)]
+    rows = window_counts(calibrates, *dictionaries, ("label",)).collect()
     counts, y = np.array([r["counts"] for r in rows]), np.array([r["label"] for r in rows])
-    weight = np.where(y == 1, n1 / size[1], n0 / size[0]) / (n0 + n1) * len(y)
+    weight = np.where(y == 1, n1 / held[1], n0 / held[0]) / (n0 + n1) * len(y)
     weights, bias = fit_logistic(features(counts), y, weight)
     return ToxicityModel(*dictionaries, weights, bias)
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from docspark.llm import chat, components, gif, lines, mixing, packing, quality, simhash, topk, toxicity, urls
-from docspark.llm.labelled import held_out
+from docspark.llm.labelled import held_out, training_sample
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -314,6 +314,64 @@ def test_classifiers_without_labels_or_rows(spark, odd_docs, no_docs, labelled):
     assert toxicity.train(no_docs, labelled[1]) is None and quality.train(no_docs, labelled[1]) is None
 
 
+def test_toxic_distances_against_plain_compression(labelled):
+    model = toxicity.train(*labelled)
+    a, b = toxicity.compressor(model.toxic), toxicity.compressor(model.ordinary)
+    text = "Ta GrumbleFitz lunker vo\tpa  ni SNORKWIT\n" + "x" * 150
+    words = text.lower().split()[:-1] + ["x" * 64, "x" * 64, "x" * 22]
+    far = lambda w: len(b.compress(f" {w} ".encode() + toxicity.TAIL)) - len(a.compress(f" {w} ".encode() + toxicity.TAIL))
+    want = np.zeros((2, toxicity.BINS), int)
+    for row, own in enumerate((words, [" ".join(words[i : i + 4]) for i in range(0, len(words), 4)])):
+        for w in own:
+            want[row, min(max(far(w), toxicity.LOW), toxicity.HIGH) - toxicity.LOW] += 1
+    got = toxicity.Distance(model.toxic, model.ordinary).counts(text.encode())
+    assert got.tolist() == want.ravel().tolist() and far("grumblefitz") > 2 > far("lunker")
+    assert toxicity.Distance(model.toxic, model.ordinary).counts(b"").sum() == 0
+
+
+def test_toxicity_of_few_documents(spark):
+    docs = spark.createDataFrame([(1, "a vile word"), (2, "a mild word"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert all(0 <= r["score"] <= 1 for r in rows(toxicity.score_documents(docs, toxicity.train(docs, labels))))
+
+
+def test_sample_holds_whole_texts_within_its_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 * i % 90)) for i in range(300)] + [(1000, "y" * 200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(1000, 1)], "doc_id long, quality int")
+    got = rows(training_sample(docs, labels, "quality", 100, 800)[0])
+    assert all(r["text"] == "x" * (10 * r["doc_id"] % 90) for r in got)
+    for y in (0, 1):
+        assert 700 < sum(len(r["text"]) for r in got if r["label"] == y) <= 800
+
+
+def test_attention_forward_and_gradients():
+    rng = np.random.default_rng(12)
+    sizes = [1, 4, 2]
+    x, y, weight = rng.normal(0, 1, (7, 5)), np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    w = [rng.normal(0, 0.7, s) for s in ((5, 4), (4,), (4, 3), (4, 3), (3,), (4,), (1,))]
+    first, doc = np.array([0, 1, 5]), np.repeat(np.arange(3), sizes)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def plain():
+        out = []
+        for d in range(3):
+            h = [np.tanh(r @ w[0] + w[1]) for r in x[doc == d]]
+            e = np.array([np.exp((np.tanh(r @ w[2]) * sigmoid(r @ w[3])) @ w[4]) for r in h])
+            out.append(sigmoid(sum(a * r for a, r in zip(e / e.sum(), h, strict=True)) @ w[5] + w[6][0]))
+        return np.array(out)
+
+    assert np.allclose(quality.forward(w, x, first, doc)[0], plain())
+    loss = lambda: -(weight * (y * np.log(plain()) + (1 - y) * np.log(1 - plain()))).mean()
+    for k, grad in enumerate(quality.gradients(w, x, first, doc, y, weight)):
+        for at in np.ndindex(w[k].shape):
+            before = w[k][at]
+            w[k][at] = before + 1e-5
+            up = loss()
+            w[k][at] = before - 1e-5
+            assert np.isclose((up - loss()) / 2e-5, grad[at], atol=1e-6)
+            w[k][at] = before
+
+
 def test_gradients_of_attention():
     rng = np.random.default_rng(2)
     bags = [rng.normal(0, 1, (int(n), quality.WIDTH)) for n in rng.integers(1, 6, 200)]
