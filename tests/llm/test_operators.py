@@ -420,6 +420,48 @@ def test_url_mining_finds_bad_hosts(spark):
     assert rows(urls.judge_urls(pages.limit(0), labels)) == []
 
 
+def test_mined_rules_against_counting(spark):
+    rng = np.random.default_rng(13)
+    data = []
+    for i in range(600):
+        own = sorted({f"t{int(k)}" for k in rng.integers(0, 7, rng.integers(1, 6))} | {"all", "always"})
+        bad = "t1" in own and "t2" in own or "t3" in own and "t4" in own and "t5" in own
+        data.append((own, int(rng.random() < (0.95 if bad else 0.1))))
+    data += [([*"abcdefghij", *[f"deep{k}" for k in range(40)]], 1)] * 20 + [([*"abcdefghij"], 0)] * 20 + [([], 1)]
+    df = spark.createDataFrame(data, "tokens array<string>, block int")
+    rules, counts = urls.mine_rules(df, 0.01, 0.7)
+    got = {tuple(r["rule"]): (r["frequency"], r["confidence"]) for r in rows(rules)}
+    from itertools import combinations
+
+    n, real = 640, [(set(t), b) for t, b in data if t]
+    stats = lambda c: (sum(set(c) <= t for t, _ in real), sum(b for t, b in real if set(c) <= t))
+    for rule, (frequency, confidence) in got.items():
+        f, both = stats(rule)
+        assert (f, both / f) == (frequency, confidence) and f >= 0.01 * n and both >= 0.7 * f
+        assert not any(set(other) < set(rule) for other in got)
+    small = sorted({x for t, _ in real for x in t if x[0] == "t"})
+    for size in (1, 2, 3):
+        for c in combinations(small, size):
+            f, both = stats(c)
+            if f >= 0.01 * n and both >= 0.7 * f:
+                assert any(set(rule) <= set(c) for rule in got), c
+    assert all((f"deep{k}",) in got for k in range(40))
+    assert {r["token"]: r["n"] for r in rows(counts)} == Counter(x for t, _ in real for x in t)
+
+
+def test_url_tokens_keep_what_ends_in_a_colon(spark):
+    df = spark.createDataFrame([("http://a.b.co/x:/y//7?k=1&&l#f:",), (None,)], "url string")
+    got = [r["t"] for r in df.select(urls.url_tokens(F.col("url")).alias("t")).collect()]
+    assert got == [["domain:b.co", "fragment:f:", "host:a", "host:b", "host:co", "path:#", "path:x:", "path:y", "query:k", "query:l", "scheme:http"], []]
+
+
+def test_urls_with_null_and_repeated_ids(spark):
+    pages = spark.createDataFrame([(None, "http://bad.io/x"), (1, "http://bad.io/x"), (1, "http://bad.io/x"), (2, "http://ok.io/y"), (3, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 1, 0), (2, 1, 0), (3, 1, None)], "doc_id long, quality int, toxic int")
+    got = Counter((r["page_id"], r["verdict"]) for r in rows(urls.judge_urls(pages, labels)))
+    assert got == {(None, "block"): 1, (1, "block"): 2, (2, "allow"): 1, (3, "allow"): 1}
+
+
 # --- 8: lines --------------------------------------------------------------------------------------------------------
 
 def test_lines_against_brute_force(odd_docs, no_docs):
