@@ -38,11 +38,10 @@ def norm_lines(text: Column) -> Column:
 
 
 def sanitize_glyphs(text: Column) -> Column:
-    """Bullets and dashes to ``-``, tabs to two blanks, other control characters dropped."""
-    # fixed values: bullet and dash characters
-    dashes = "•●▪◦‣⁃–—‒−"
-    plain = F.regexp_replace(F.translate(text, dashes, "-" * len(dashes)), "\t", "  ")
-    return F.regexp_replace(plain, r"[\x00-\x09\x0b-\x1f\x7f]", "")
+    """Bullets and the dash to ``-``, tabs to two blanks, alerts and backspaces dropped."""
+    # fixed values: characters that become a dash, and those dropped
+    dashes, dropped = "\uf0b7\u2022\u25cf\u2013\u00b7", "\x07\x08"
+    return F.replace(F.translate(text, dashes + dropped, "-" * len(dashes)), F.lit("\t"), F.lit("  "))
 
 
 def name_forms(name: Column) -> Column:
@@ -75,12 +74,19 @@ def suffix(path: Column) -> Column:
 
 
 def error_bucket(a: Column, b: Column) -> Column:
-    """Kind of an edit between two spellings: merge, split, or substitution, deletion, insertion of digit, letter, space or other."""
-    kind = lambda c: F.when(c.rlike(r"^\d"), "digit").when(c.rlike(r"^\p{L}"), "letter").when(c.rlike(r"^\s"), "space").otherwise("other")
+    """Kind of an edit from a to b, characters of which one may be empty.
+
+    A lost blank is a merge, a gained one a split, also by substitution. Else deletions and insertions are of a digit,
+    letter (alpha) or other; substitutions are sub_digit_digit, sub_digit_alpha, sub_case, sub_alpha or sub_other.
+    """
+    digit, alpha = (lambda c: c.rlike(r"^\p{Nd}")), (lambda c: c.rlike(r"^\p{L}"))
+    kind = lambda c: F.when(digit(c), "digit").when(alpha(c), "alpha").otherwise("other")
     return (
-        F.when((a == " ") & (b == ""), "merge").when((a == "") & (b == " "), "split")
+        F.when(a == " ", "merge").when(b == " ", "split")
         .when(b == "", F.concat(F.lit("del_"), kind(a))).when(a == "", F.concat(F.lit("ins_"), kind(b)))
-        .otherwise(F.concat(F.lit("sub_"), kind(a)))
+        .when(digit(a) & digit(b), "sub_digit_digit").when((digit(a) & alpha(b)) | (alpha(a) & digit(b)), "sub_digit_alpha")
+        .when(alpha(a) & alpha(b), F.when(F.lower(a) == F.lower(b), "sub_case").otherwise("sub_alpha"))
+        .otherwise("sub_other")
     )
 
 

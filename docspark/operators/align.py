@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+# fixed values: cost of a line alone, and the quick ratio below which lines have nothing in common
 GAP, LEAST_QUICK = 0.45, 0.2
 
 
@@ -100,21 +101,24 @@ def line_alignment(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([[{"a": i, "b": j} for i, j in align_lines(list(x if x is not None else []), list(y if y is not None else []))] for x, y in zip(a, b, strict=True)])
 
 
+def error_bucket(a: str, b: str) -> str:
+    """functions.text.error_bucket of two characters, of which one may be empty."""
+    if " " in (a, b):
+        return "merge" if a == " " else "split"
+    kind = lambda c: "digit" if c.isdecimal() else "alpha" if c.isalpha() else "other"
+    if not a or not b:
+        return f"ins_{kind(b)}" if not a else f"del_{kind(a)}"
+    both = {kind(a), kind(b)}
+    if both == {"alpha"}:
+        return "sub_case" if a.lower() == b.lower() else "sub_alpha"
+    return "sub_digit_digit" if both == {"digit"} else "sub_digit_alpha" if both == {"digit", "alpha"} else "sub_other"
+
+
 def page_fidelity(pages: DataFrame, keys: list[str]) -> DataFrame:
     """pages (keys, truth_lines, ocr_lines, arrays) with chars, char_errors, words, word_errors, lost, spurious and buckets."""
     out = "chars int, char_errors int, words int, word_errors int, lost int, spurious int, buckets map<string,bigint>"
     types = dict(pages.dtypes)
 
-    def kind(c: str) -> str:
-        return "digit" if c.isdigit() else "letter" if c.isalpha() else "space" if c.isspace() else "other"
-
-    def bucket(a: str, b: str) -> str:
-        if (a, b) == (" ", ""):
-            return "merge"
-        if (a, b) == ("", " "):
-            return "split"
-        return f"del_{kind(a)}" if not b else f"ins_{kind(b)}" if not a else f"sub_{kind(a)}"
-
     def rate(batches):
         for pdf in batches:
             rows = []
@@ -129,7 +133,8 @@ def page_fidelity(pages: DataFrame, keys: list[str]) -> DataFrame:
                     s["char_errors"] += len(ops)
                     s["word_errors"] += len(edit_ops(a.split(), b.split()))
                     for _, _, x, y in ops:
-                        s["buckets"][bucket(x, y)] = s["buckets"].get(bucket(x, y), 0) + 1
+                        kind = error_bucket(x, y)
+                        s["buckets"][kind] = s["buckets"].get(kind, 0) + 1
                 rows.append(s)
             yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])], axis=1)
 

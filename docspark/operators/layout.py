@@ -96,26 +96,25 @@ def reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:
 def visual_rows(regions: DataFrame, page: list[str], mode: str = "halfway") -> DataFrame:
     """regions (page, idx, left, top, width, height) with ``row``: bands by vertical centre, each page in its own group.
 
-    By centre from the top, a region joins the latest row whose centre lies within half the greater height and, in mode
-    ``halfway``, none of whose members it overlaps in x by over 0.3 of the narrower width; the row's centre then moves
-    halfway. In mode ``mean`` the centre is the running mean and overlap does not count. Sequential, so a fold per page; a page is bounded.
+    By centre from the top, then from the left, a region joins the last row, and no earlier one, if that row's centre
+    lies within half the greater height and, in mode ``halfway``, the region overlaps none of its members in x by over
+    0.3 of the narrower width; the row's centre then moves halfway. In mode ``mean`` the centre is the running mean and
+    overlap does not count. Else it opens a row. Sequential, so a fold per page; a page is bounded.
     """
     names = regions.columns
 
     def band(key: tuple, own: list[dict]) -> list[tuple]:
         rows: list[dict] = []
         for r in sorted(own, key=lambda r: (r["top"] + r["height"] / 2, r["left"])):
-            c, right = r["top"] + r["height"] / 2, r["left"] + r["width"]
-            for i in range(len(rows) - 1, -1, -1):
-                q = rows[i]
-                if abs(c - q["c"]) < 0.5 * max(r["height"], q["h"], 1) and (mode == "mean" or not any(min(right, m["left"] + m["width"]) - max(r["left"], m["left"]) > 0.3 * min(r["width"], m["width"]) for m in q["members"])):
-                    q["members"].append(r)
-                    q["c"] = (q["c"] + c) / 2 if mode == "halfway" else q["c"] + (c - q["c"]) / len(q["members"])
-                    q["h"] = max(q["h"], r["height"])
-                    break
+            c, right, q = r["top"] + r["height"] / 2, r["left"] + r["width"], rows[-1] if rows else None
+            near = q and abs(c - q["c"]) < 0.5 * max(r["height"], q["h"], 1)
+            if near and (mode == "mean" or not any(min(right, m["left"] + m["width"]) - max(r["left"], m["left"]) > 0.3 * min(r["width"], m["width"]) for m in q["members"])):
+                q["members"].append(r)
+                q["c"] += (c - q["c"]) / (2 if mode == "halfway" else len(q["members"]))
+                q["h"] = max(q["h"], r["height"])
             else:
                 rows.append({"c": c, "h": r["height"], "members": [r]})
-        return [(*[m[n] for n in names], k) for k, q in enumerate(sorted(rows, key=lambda q: q["c"])) for m in q["members"]]
+        return [(*[m[n] for n in names], k) for k, q in enumerate(rows) for m in q["members"]]
 
     return fold_groups(regions, page, ["top", "left"], band, ", ".join(f"`{n}` {t}" for n, t in regions.dtypes) + ", row int")
 

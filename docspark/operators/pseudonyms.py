@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.text import collapse, normalize
+from docspark.storage import stored
 
 # fixed values: prefix of each class; other classes go by their own name
 PREFIXES = {
@@ -34,7 +35,6 @@ PREFIXES = {
     "ORGANIZATION": "ORG",
 }
 PMAP = "scope string, prefix string, norm_value string, placeholder string, n long, surface string"
-CHUNKS = 256
 
 
 def prefix_of(kind: Column) -> Column:
@@ -45,11 +45,12 @@ def allocate(mentions: DataFrame, order: list[str], pmap: DataFrame | None = Non
     """The map for mentions (scope, entity_type, value, and the columns of ``order``), extending ``pmap`` if given.
 
     A value (normalized) keeps its placeholder; new ones go on from the class's highest number, in the order of their
-    first mention. Mentions shrink to one row per distinct value before numbering, with a map-side aggregate; numbers
-    within (scope, prefix) come from a window over those distinct values.
+    first mention. Mentions shrink to one row per distinct value before numbering, with a map-side aggregate. The values
+    are dealt by ranges of (scope, prefix, first mention) and numbered within their range; counts of the ranges, one
+    small row each, carry the numbers on, so a class of any size spreads over tasks. A null scope is the empty one.
     """
     first = F.struct(*order)
-    own = mentions.select("scope", prefix_of(F.col("entity_type")).alias("prefix"), normalize(F.col("value")).alias("norm_value"), first.alias("first"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("surface"))
+    own = mentions.select(F.coalesce("scope", F.lit("")).alias("scope"), prefix_of(F.col("entity_type")).alias("prefix"), normalize(F.col("value")).alias("norm_value"), first.alias("first"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("surface"))
     new = own.groupBy("scope", "prefix", "norm_value").agg(F.min(F.struct("first", "surface")).alias("x"))
     if pmap is not None:
         new = new.join(pmap, ["scope", "prefix", "norm_value"], "left_anti")
@@ -57,8 +58,13 @@ def allocate(mentions: DataFrame, order: list[str], pmap: DataFrame | None = Non
         new = new.join(base, ["scope", "prefix"], "left")
     else:
         new = new.withColumn("base", F.lit(0).cast("long"))
-    n = F.coalesce("base", F.lit(0)) + F.row_number().over(Window.partitionBy("scope", "prefix").orderBy("x.first", "norm_value"))
-    new = new.withColumn("n", n.cast("long")).select("scope", "prefix", "norm_value", F.concat_ws("_", "prefix", F.col("n").cast("string")).alias("placeholder"), "n", F.col("x.surface").alias("surface"))
+    keys = ["scope", "prefix"]
+    new = stored(new.repartitionByRange(*keys, "x.first", "norm_value").withColumn("chunk", F.spark_partition_id()), "values")
+    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = new.groupBy(*keys, "chunk").agg(F.count("*").alias("k")).select(*keys, "chunk", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("earlier"))
+    within = Window.partitionBy(*keys, "chunk").orderBy("x.first", "norm_value")
+    n = F.coalesce("base", F.lit(0)) + F.col("earlier") + F.row_number().over(within)
+    new = new.join(counts, [*keys, "chunk"]).withColumn("n", n.cast("long")).select("scope", "prefix", "norm_value", F.concat_ws("_", "prefix", F.col("n").cast("string")).alias("placeholder"), "n", F.col("x.surface").alias("surface"))
     return new if pmap is None else pmap.unionByName(new)
 
 

@@ -84,24 +84,33 @@ def detect(docs: DataFrame, options: Options = Options(), text: str = "text", gi
 
 
 def strip(docs: DataFrame, options: Options = Options(), doc_id: str = "doc_id", text: str = "text", scope: Column | None = None, pmap: DataFrame | None = None, given: str | None = None, order: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(docs with ``stripped``, ``plan`` and ``invalid``; the map). doc_id must be unique.
+    """(docs with ``stripped``, ``plan`` and ``invalid``; the map), a row for each row of docs, in no order.
 
     One scope (the default) numbers the whole set alike, in the order of ``order`` (default: the id) and then of
-    position; ``scope`` splits it, for instance by document. Detection runs once: what it found, not the texts, is kept
-    (in memory, else on disk; recomputed where an executor is lost). Placeholders come back by equi-joins and texts are
-    spliced in their rows.
+    position; ``scope`` splits it, for instance by document. Ids may be null or repeated: what is found goes back to its
+    rows by id, order and text (a 128-bit hash). A null text stays null, with an empty plan. Detection runs once: what it
+    found, not the texts, is kept (in memory, else on disk; recomputed where an executor is lost). Placeholders come back
+    by equi-joins and texts are spliced in their rows.
     """
-    order = order or (doc_id,)
-    found = detect(docs.withColumn("scope", scope if scope is not None else F.lit("all")), options, text, given)
+    keys = [f"__{i}" for i, _ in enumerate(dict.fromkeys((*(order or (doc_id,)), doc_id)))]
+    named_keys = dict(zip(keys, dict.fromkeys((*(order or (doc_id,)), doc_id)), strict=True))
+    said = [F.col(c) for c in (text, given) if c]
+    own = docs.withColumns({k: F.col(c) for k, c in named_keys.items()} | {"__a": F.xxhash64(*said), "__b": F.xxhash64(F.lit(1), *said), "__s": F.coalesce(scope if scope is not None else F.lit("all"), F.lit(""))})
+    row = ["__s", *keys, "__a", "__b"]
+    found = detect(own, options, text, given)
     cut = F.transform("plan", lambda s: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"]).alias("value")))
-    keys = list(dict.fromkeys((*order, doc_id)))
-    slim = found.select("scope", *keys, cut.alias("plan"), "invalid").persist(StorageLevel.MEMORY_AND_DISK)
-    mentions = slim.select("scope", *keys, F.explode("plan").alias("s")).select("scope", *keys, "s.*")
-    made = pseudonyms.allocate(mentions, [*order, "start"], pmap)
+    slim = found.select(*row, cut.alias("plan"), "invalid").dropDuplicates(row).persist(StorageLevel.MEMORY_AND_DISK)
+    mentions = slim.select(F.col("__s").alias("scope"), *row, F.explode("plan").alias("s")).select("scope", *row, "s.*")
+    made = pseudonyms.allocate(mentions, [*(keys if order else keys[:1]), "start"], pmap)
     named = mentions.withColumn("prefix", pseudonyms.prefix_of(F.col("entity_type"))).withColumn("norm_value", pseudonyms.normalize(F.col("value"))).join(made, ["scope", "prefix", "norm_value"])
-    places = named.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("__p"))
-    out = docs.join(slim.select(doc_id, "plan", "invalid"), doc_id).join(places, doc_id, "left")
-    return out.withColumn("stripped", F.when(F.col("__p").isNull(), F.col(text)).otherwise(pseudonyms.splice(F.col(text), F.col("__p")))).drop("__p"), made
+    places = named.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("__p"))
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        theirs = right.withColumnsRenamed({c: f"{c}_" for c in row})
+        return left.join(theirs, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in row], "left").drop(*[f"{c}_" for c in row])
+
+    out = beside(beside(own, slim), places)
+    return out.withColumn("stripped", F.when(F.col("__p").isNull(), F.col(text)).otherwise(pseudonyms.splice(F.col(text), F.col("__p")))).drop(*row, "__p"), made
 
 
 def cells(rows: DataFrame, row: str, columns: list[str] | None = None) -> DataFrame:

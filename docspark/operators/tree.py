@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.functions.text import collapse, sanitize_glyphs
+from docspark.functions.text import collapse, let, sanitize_glyphs
 from docspark.operators.grouped import fold_groups
 
 
@@ -43,8 +43,8 @@ def build_tree(pieces: DataFrame, doc: list[str]) -> DataFrame:
     """tree_nodes from pieces (doc, ord, level or null, text, page, x, y) in reading order.
 
     A header closes all open headers of its level or deeper and becomes a child of the one left open; headers of equal
-    level in a row, with no text between, are one. Other text belongs to the header open at the time. Then header white
-    space is collapsed, and a leaf without text passes its header on to its right sibling. Sequential, so a fold per document; node 0 is the root with level -1.
+    level in a row, with no text between, be it blank, are one. Other text belongs to the header open at the time. Then
+    header white space is collapsed, texts are trimmed, and a leaf without text passes its header on to its right sibling. Sequential, so a fold per document; node 0 is the root with level -1.
     """
     keys = ", ".join(f"{c} {dict(pieces.dtypes)[c]}" for c in doc)
     schema = f"{keys}, node_id int, parent_id int, level int, header string, text string, page int, x double, y double, ordinal int"
@@ -57,7 +57,7 @@ def build_tree(pieces: DataFrame, doc: list[str]) -> DataFrame:
                 nodes[open_[-1]]["text"] += r["text"] or ""
                 continue
             level, top = r["level"], nodes[open_[-1]]
-            if top["level"] == level and not top["text"].strip():
+            if top["level"] == level and top["text"] == "":
                 top["header"] += " " + r["text"]
                 continue
             while nodes[open_[-1]]["level"] >= level:
@@ -65,7 +65,7 @@ def build_tree(pieces: DataFrame, doc: list[str]) -> DataFrame:
             nodes.append({"id": len(nodes), "parent": open_[-1], "level": level, "header": r["text"], "text": "", "page": r["page"], "x": r["x"], "y": r["y"]})
             open_.append(len(nodes) - 1)
         for n in nodes:
-            n["header"] = " ".join(n["header"].split())
+            n["header"], n["text"] = " ".join(n["header"].split()), n["text"].strip()
         children: dict = {}
         for n in nodes:
             children.setdefault(n["parent"], []).append(n)
@@ -129,9 +129,11 @@ def chunks(texts: DataFrame, text: str = "text", size: int = 8000, overlap: int
     own = texts.withColumn("__t", F.regexp_extract_all(text, F.lit(token), F.lit(0))).where(F.size("__t") > 0)
     count = F.greatest(F.lit(0), F.ceil((F.size("__t") - size) / F.lit(step))).cast("int")
     length = lambda a: F.aggregate(a, F.lit(0), lambda s, t: s + F.length(t))
-    cut = own.withColumn("split", F.explode(F.sequence(F.lit(0), count)))
-    cut = cut.withColumn("__b", F.slice("__t", 1, F.greatest(F.col("split") * step, F.lit(0)))).withColumn("__c", F.slice("__t", F.col("split") * step + 1, size))
-    return cut.withColumn("pos", length(F.col("__b"))).withColumn("len", length(F.col("__c"))).withColumn("chunk", F.array_join("__c", "")).drop("__t", "__b", "__c")
+    # lengths of the steps, so that an offset adds up steps and not tokens; only finished chunks are exploded
+    own = own.withColumn("__s", F.transform(F.sequence(F.lit(0), count), lambda i: length(F.slice("__t", i * step + 1, step))))
+    before = lambda i: F.aggregate(F.slice("__s", 1, i), F.lit(0), lambda s, n: s + n)
+    cut = lambda i: let(F.slice("__t", i * step + 1, size), lambda c: F.struct(i.alias("split"), before(i).alias("pos"), length(c).alias("len"), F.array_join(c, "").alias("chunk")))
+    return own.withColumn("__c", F.explode(F.transform(F.sequence(F.lit(0), count), cut))).select(*texts.columns, "__c.*")
 
 
 def node_chunks(paths: DataFrame, doc: list[str], size: int = 8000, overlap: int = 2000) -> DataFrame:

@@ -57,8 +57,8 @@ def card_invalid_findings(spark, d):
     return runs.where(~checksum.luhn_valid(F.col("value"))).withColumn("rule", F.lit(spans.INVALID_RULES["CREDIT_CARD_INVALID"]))
 
 
-def _weighted(v: str, weights: tuple[int, ...], first: int = 0) -> str:
-    return " + ".join(f"({w} * (substr({v}, {i + 1}, 1)::INT - {first if i == 0 else 0}))" for i, w in enumerate(weights))
+def _weighted(v: str, weights: tuple[int, ...]) -> str:
+    return " + ".join(f"({w} * substr({v}, {i + 1}, 1)::INT)" for i, w in enumerate(weights))
 
 
 @query(f"""WITH k AS (SELECT DISTINCT lpad((l_orderkey * 7919 + l_partkey * 31)::VARCHAR, 9, '0') AS v FROM lineitem)
@@ -75,10 +75,11 @@ def checksum_acn(spark, d):
     return t(spark, d, "orders").select(v.alias("v")).distinct().select("v", checksum.acn_valid(F.col("v")).alias("ok"))
 
 
-@query(f"""WITH k AS (SELECT DISTINCT '5' || lpad((o_orderkey * 15485863 % 10000000000)::VARCHAR, 10, '0') AS v FROM orders)
-SELECT v, ({_weighted('v', checksum.ABN, 1)}) % 89 = 0 AS ok FROM k""")
+@query(f"""WITH k AS (SELECT DISTINCT (o_orderkey % 4)::VARCHAR || lpad((o_orderkey * 15485863 % 10000000000)::VARCHAR, 10, '0') AS v FROM orders),
+f AS (SELECT v, CASE WHEN v[1] = '0' THEN '9' ELSE (v[1]::INT - 1)::VARCHAR END || substr(v, 2) AS w FROM k)
+SELECT v, ({_weighted('w', checksum.ABN)}) % 89 = 0 AS ok FROM f""")
 def checksum_abn(spark, d):
-    v = F.concat(F.lit("5"), F.lpad((F.col("o_orderkey") * 15485863 % 10000000000).cast("string"), 10, "0"))
+    v = F.concat((F.col("o_orderkey") % 4).cast("string"), F.lpad((F.col("o_orderkey") * 15485863 % 10000000000).cast("string"), 10, "0"))
     return t(spark, d, "orders").select(v.alias("v")).distinct().select("v", checksum.abn_valid(F.col("v")).alias("ok"))
 
 
@@ -89,32 +90,32 @@ def checksum_medicare(spark, d):
     return t(spark, d, "orders").select(v.alias("v")).distinct().select("v", checksum.medicare_valid(F.col("v")).alias("ok"))
 
 
-@query("""WITH k AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'AU_TFN' WHEN 1 THEN 'AU_BANK_ACCOUNT' ELSE 'AU_ACN' END AS kind,
-  substr(lpad((o_orderkey * 104729 % 1000000000)::VARCHAR, 9, '0'), 1, (5 + o_orderkey % 5)::INT) AS v FROM orders)
-SELECT o_orderkey, kind, v, CASE
-  WHEN kind = 'AU_BANK_ACCOUNT' THEN kind
-  WHEN kind = 'AU_TFN' THEN CASE WHEN length(v) = 8 THEN kind WHEN length(v) = 9 THEN CASE WHEN (""" + _weighted("v", checksum.TFN) + """) % 11 = 0 THEN kind ELSE 'AU_TFN_INVALID' END END
-  WHEN length(v) = 9 THEN CASE WHEN (10 - (""" + _weighted("v", checksum.ACN) + """) % 10) % 10 = substr(v, 9, 1)::INT THEN kind ELSE 'AU_ACN_INVALID' END END AS outcome
-FROM k""")
+@query("""WITH k AS (SELECT o_orderkey, ['AU_TFN', 'AU_MEDICARE', 'AU_BANK_ACCOUNT', 'PASSPORT', 'AU_DRIVERS_LICENCE', 'AU_ACN'][(o_orderkey % 6 + 1)::INT] AS kind,
+  substr('WX', 1, (o_orderkey % 3)::INT) || ' ' || substr((1 + o_orderkey * 7 % 9)::VARCHAR || lpad((o_orderkey * 15485863 % 10000000000)::VARCHAR, 10, '0') || '1234567', 1, (4 + o_orderkey % 14)::INT) AS v FROM orders),
+g AS (SELECT *, substr(v, length(v) - length(trim(v, 'WX ')) + 1) AS n FROM k)
+SELECT o_orderkey, kind, v, CASE kind
+  WHEN 'AU_TFN' THEN CASE WHEN length(n) = 8 THEN kind WHEN length(n) = 9 THEN CASE WHEN (""" + _weighted("rpad(n, 9, '0')", checksum.TFN) + """) % 11 = 0 THEN kind ELSE 'AU_TFN_INVALID' END END
+  WHEN 'AU_MEDICARE' THEN CASE WHEN length(n) IN (10, 11) AND substr(n, 1, 1) IN ('2', '3', '4', '5', '6') THEN
+    CASE WHEN (""" + _weighted("rpad(n, 10, '0')", checksum.MEDICARE) + """) % 10 = substr(rpad(n, 10, '0'), 9, 1)::INT THEN kind ELSE 'AU_MEDICARE_INVALID' END END
+  WHEN 'AU_BANK_ACCOUNT' THEN CASE WHEN length(n) BETWEEN 5 AND 16 THEN kind END
+  WHEN 'PASSPORT' THEN CASE WHEN length(n) <= 9 THEN kind END
+  WHEN 'AU_DRIVERS_LICENCE' THEN CASE WHEN length(v) - 1 <= 10 THEN kind END
+  ELSE kind END AS outcome FROM g""")
 def identifier_postvalidate(spark, d):
     key = F.col("o_orderkey")
-    kind = F.when(key % 3 == 0, "AU_TFN").when(key % 3 == 1, "AU_BANK_ACCOUNT").otherwise("AU_ACN")
-    v = F.substring(F.lpad((key * 104729 % 1000000000).cast("string"), 9, "0"), F.lit(1), (5 + key % 5).cast("int"))
+    kinds = ("AU_TFN", "AU_MEDICARE", "AU_BANK_ACCOUNT", "PASSPORT", "AU_DRIVERS_LICENCE", "AU_ACN")
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (key % 6 + 1).cast("int"))
+    digits = F.concat((1 + key * 7 % 9).cast("string"), F.lpad((key * 15485863 % 10000000000).cast("string"), 10, "0"), F.lit("1234567"))
+    v = F.concat(F.substring(F.lit("WX"), F.lit(1), (key % 3).cast("int")), F.lit(" "), F.substring(digits, F.lit(1), (4 + key % 14).cast("int")))
     return t(spark, d, "orders").select("o_orderkey", kind.alias("kind"), v.alias("v")).withColumn("outcome", checksum.post_validate(F.col("kind"), F.col("v")))
 
 
 @query(r"""SELECT doc_id, md5(lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))) AS norm,
   length(regexp_replace(text, '[^0-9]', '', 'g'))::INT AS n_digits,
-  md5(translate(regexp_replace(lower(substr(text, 1, 400)), '[^a-z0-9]', '', 'g'), '0q1lj582697', 'ooiiisbzggt')) AS squashed FROM documents""")
+  md5(translate(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '0q1lj582697', 'ooiiisbzggt')) AS squashed FROM documents""")
 def normalize_text(spark, d):
     c = F.col("text")
-    return t(spark, d, "documents").select("doc_id", F.md5(text.normalize(c)).alias("norm"), F.length(text.digits(c)).alias("n_digits"), F.md5(text.squash_confusable(F.substring(c, 1, 400))).alias("squashed"))
-
-
-@query(r"""SELECT doc_id, md5(translate(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '0q1lj582697', 'ooiiisbzggt')) AS squashed FROM documents""")
-def squash_text(spark, d):
-    """normalize_text's SQL fixes its squashed column to the first 400 characters; this is the whole text."""
-    return t(spark, d, "documents").select("doc_id", F.md5(text.squash_confusable(F.col("text"))).alias("squashed"))
+    return t(spark, d, "documents").select("doc_id", F.md5(text.normalize(c)).alias("norm"), F.length(text.digits(c)).alias("n_digits"), F.md5(text.squash_confusable(c)).alias("squashed"))
 
 
 @query(r"""SELECT p_partkey, translate(p_name, 'aeiou', 'AEIOU') AS shown, position('e' IN lower(p_name))::INT AS at,
@@ -131,15 +132,17 @@ def norm_lines(spark, d):
     return t(spark, d, "benchmark").select("item_id", F.size(ls).alias("n_lines"), F.array_join(ls, "\n").alias("body"))
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN ' ' WHEN 2 THEN '' ELSE l_returnflag END AS a,
-  CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN ' ' WHEN 3 THEN '' ELSE l_linestatus END AS b FROM lineitem)
-SELECT CASE WHEN a = ' ' AND b = '' THEN 'merge' WHEN a = '' AND b = ' ' THEN 'split' WHEN b = '' THEN 'del_letter' ELSE 'sub_letter' END AS bucket, count(*) AS n
-FROM c GROUP BY 1""")
+@query("""WITH c AS (SELECT [' ', '', '5', 'A', 'a', '-', 'b', '7'][(l_partkey % 8 + 1)::INT] AS a, [' ', '', '3', 'a', 'B', '.', 'x', 'A'][(l_suppkey % 8 + 1)::INT] AS b FROM lineitem),
+k AS (SELECT a, b, a IN ('5', '7') AS da, b = '3' AS db, a IN ('A', 'a', 'b') AS la, b IN ('a', 'B', 'x', 'A') AS lb FROM c WHERE a <> b)
+SELECT CASE WHEN a = ' ' THEN 'merge' WHEN b = ' ' THEN 'split'
+  WHEN b = '' THEN CASE WHEN da THEN 'del_digit' WHEN la THEN 'del_alpha' ELSE 'del_other' END
+  WHEN a = '' THEN CASE WHEN db THEN 'ins_digit' WHEN lb THEN 'ins_alpha' ELSE 'ins_other' END
+  WHEN da AND db THEN 'sub_digit_digit' WHEN da OR db THEN CASE WHEN la OR lb THEN 'sub_digit_alpha' ELSE 'sub_other' END
+  WHEN la AND lb THEN CASE WHEN lower(a) = lower(b) THEN 'sub_case' ELSE 'sub_alpha' END ELSE 'sub_other' END AS bucket, count(*) AS n FROM k GROUP BY 1""")
 def error_buckets(spark, d):
-    line = F.col("l_linenumber")
-    a = F.when(line == 1, " ").when(line == 2, "").otherwise(F.col("l_returnflag"))
-    b = F.when(line == 1, "").when(line == 2, " ").when(line == 3, "").otherwise(F.col("l_linestatus"))
-    return t(spark, d, "lineitem").select(text.error_bucket(a, b).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    pick = lambda signs, key: F.element_at(F.array(*map(F.lit, signs)), (F.col(key) % 8 + 1).cast("int"))
+    pairs = t(spark, d, "lineitem").select(pick((" ", "", "5", "A", "a", "-", "b", "7"), "l_partkey").alias("a"), pick((" ", "", "3", "a", "B", ".", "x", "A"), "l_suppkey").alias("b"))
+    return pairs.where("a <> b").select(text.error_bucket(F.col("a"), F.col("b")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_id, (props::JSON->>'$.k')::INT AS k, to_json({'k': (props::JSON->>'$.k')::INT})::VARCHAR AS back FROM events""")
@@ -381,9 +384,10 @@ def leak_gate(spark, d):
     return score.gate(score.verdicts(*truth_and_plan(spark, d), ["doc_id"]))
 
 
-@query(f"WITH {TRUTH_SQL} SELECT type FROM ve GROUP BY type HAVING NOT bool_or(verdict IN ('kept', 'over-stripped'))")
+@query(f"WITH {TRUTH_SQL} SELECT type || CASE WHEN expected THEN 'O' ELSE 'F' END AS type FROM ve GROUP BY 1 HAVING NOT bool_or(verdict IN ('kept', 'over-stripped'))")
 def strip_only_types(spark, d):
-    return score.strip_types(score.verdicts(*truth_and_plan(spark, d), ["doc_id"]))
+    scored = score.verdicts(*truth_and_plan(spark, d), ["doc_id"])
+    return score.strip_types(scored.withColumn("type", F.concat("type", F.when(F.col("strip_expected"), "O").otherwise("F"))))
 
 
 @query(f"""WITH {SPANS_SQL} SELECT doc_id, kind AS entity_type, st AS start, en AS "end" FROM s a WHERE kind = 'AU_TFN_INVALID' AND NOT EXISTS (
@@ -463,16 +467,17 @@ def find_value_exact(spark, d):
 
 
 def _passages(b: DataFrame, docs: DataFrame) -> DataFrame:
-    """An equi-join on inner words of a passage, each whole in the document too, and then the containment.
+    """An equi-join on the hash of inner words of a passage, each whole in the document too, and then the containment.
 
     Passages of fewer than five words have no three inner words, so those are compared with every document.
     """
     inner = lambda c: F.split(c, " ")
-    keyed = b.withColumn("k", F.array_join(F.slice(inner(F.col("v")), 2, 3), " "))
+    three = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    keyed = b.withColumn("w", inner(F.col("v"))).withColumn("k", three(F.col("w"), F.lit(1)))
     words = docs.withColumn("w", inner(F.col("x")))
-    grams = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(3)), " ")))).alias("k"))
-    found = keyed.where(F.size(inner(F.col("v"))) >= 5).join(grams, "k").select("item_id", "v", "doc_id").distinct()
-    short = keyed.where(F.size(inner(F.col("v"))) < 5).select("item_id", "v")
+    grams = words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: three(F.col("w"), i))).alias("k"))
+    found = keyed.where(F.size("w") >= 5).join(grams, "k").select("item_id", "v", "doc_id").distinct()
+    short = keyed.where(F.size("w") < 5).select("item_id", "v")
     met = found.join(docs, "doc_id").where(F.contains("x", F.col("v"))).select("item_id", "doc_id")
     return met.unionByName(short.join(docs, F.contains("x", F.col("v"))).select("item_id", "doc_id"))
 
@@ -492,20 +497,11 @@ def line_alignment(spark, d):
 
 # --- F4: search; E10-E12, H12, H13: chunks and trees ------------------------------------------------------------------
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 20),
-s AS (SELECT query_id, vec_id AS id, list_sum(list_transform(list_zip(embedding, q), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE)))) AS r FROM q, embeddings),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, id) AS rank FROM s) SELECT query_id, id, round(r, 4) AS relevance, rank::INT AS rank FROM k WHERE rank <= 5""")
-def vector_topk(spark, d):
-    e = t(spark, d, "embeddings").select(F.lit(0).alias("doc_id"), F.col("vec_id").alias("id"), "embedding")
-    q = e.where("id < 20").select(F.col("id").alias("query_id"), "doc_id", F.col("embedding").alias("q"))
-    return search.search(e, q, 5).select("query_id", "id", F.round("relevance", 4).alias("relevance"), "rank")
-
-
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id AS id, list_sum(list_transform(list_zip(embedding, q), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE)))) AS r FROM q, embeddings),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, id) AS rank FROM s) SELECT query_id, id, round(r, 4) AS relevance, rank::INT AS rank FROM k WHERE rank <= 5""")
-def vector_topk_hundredth(spark, d):
-    """Every hundredth vector against all, in blocks of rows; vector_topk's SQL fixes its queries to the first 20 ids."""
+def vector_topk(spark, d):
+    """Every hundredth vector against all, in blocks of rows."""
     own = t(spark, d, "embeddings")
     blocks = own.count() // 1000 + 1
     e = own.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("doc_id"), F.col("vec_id").alias("id"), "embedding")
