@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and returns a DataFrame. All but
 the last return the columns of ``documents`` (doc_id, text, lang, source, n_chars).
+
+In every stage rows are documents, also where doc_id is null or repeated or whole rows are; a null text is an empty one;
+a null source is a source of its own; other columns, whatever their names, are dropped. An empty table gives an empty one.
+Ties are broken by id and then by a hash of the text, so reruns agree.
 """
 
 from __future__ import annotations
@@ -17,13 +21,20 @@ REJECT_BELOW = 0.3
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the labels of ``docs``' own rows, does not reject."""
+    """Documents that the quality classifier, trained on the labels of ``docs``' own rows, does not reject.
+
+    Labels of held-out ids are not learnt; without labels of both kinds nothing is rejected. A null text is rejected or
+    kept as an empty one, and stays null.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score_documents(docs.select(*COLUMNS), model, score="quality_score").where(F.col("quality_score") >= REJECT_BELOW).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that many documents share; n_chars follows the text."""
+    """Texts without the lines that many documents share; n_chars follows the text.
+
+    A document whose lines all go stays, with an empty text. Rows of one id count as one document, those without as one too.
+    """
     out = lines.dedup_lines(docs, keep=("lang", "source"))
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
@@ -54,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of at most 4096 tokens."""
+    """Pieces of the mixed documents in sequences of at most 4096 tokens; a document that the mix repeats is packed again."""
     return packing.pack_documents(docs)
 
 
