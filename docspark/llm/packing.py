@@ -21,9 +21,9 @@ CAPACITY, EOS = 4096, 1
 #: Lengths are fitted in steps of UNIT tokens, in patterns of up to PATTERN_DOCS documents.
 UNIT, PATTERN_DOCS = 64, 4
 #: Keys whose ids a worker remembers; the older half of what it knows goes when that many are new.
-CACHE = 500_000
+CACHE = 300_000
 #: Bytes of text, and words new to a worker, that are worked on at a time. Longer texts go whole, by themselves.
-SLICE, NEW = 8 << 20, 50_000
+SLICE, NEW = 4 << 20, 50_000
 
 #: Chunks whose ids are those of a lower-case word and then those of ASCII marks: composed letters, no apostrophe.
 PLAIN = "^(?P<word>[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)(?P<marks>[!-&(-/:-@[-`{-~]*)$"
