@@ -18,6 +18,8 @@ from docspark.llm.common import table
 CLEAR, END, FULL = 256, 257, 4096
 #: Payload width in pixels, rows of a frame at most, and its time in hundredths of a second.
 WIDTH, ROWS, DELAY = 64, 1024, 10
+#: Pixels that a foreign stream may claim for its screen or a frame; the header alone would otherwise set the memory.
+PIXELS = 1 << 26
 SINGLE = [bytes([i]) for i in range(256)]
 
 
@@ -159,21 +161,35 @@ def encode(payload: bytes, palette: bytes | None = None) -> bytes:
 
 def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     parts = []
-    while at < len(data) and (n := data[at]):
+    while n := data[at]:
+        if at + n >= len(data):
+            raise ValueError("the stream breaks off within a block")
         parts.append(data[at + 1 : at + 1 + n])
         at += 1 + n
     return b"".join(parts), at + 1
 
 
-def frames(media: bytes) -> Iterator[Frame]:
-    """Frames in order; palettes, transparency, interlacing and disposal (1 keep, 2 clear, 3 restore) are applied."""
+def _colours(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
+    n = 3 << (flags & 7) + 1
+    if at + n > len(data):
+        raise ValueError("the stream breaks off within a palette")
+    return np.frombuffer(data, np.uint8, n, at).reshape(-1, 3), at + n
+
+
+def frames(media: bytes, most: int = PIXELS) -> Iterator[Frame]:
+    """Frames in order; palettes, transparency, interlacing and disposal (1 keep, 2 clear, 3 restore) are applied.
+
+    Raises where the stream breaks off, a frame's samples are too few, or a screen or frame has more than ``most``
+    pixels; frames before the fault have been given by then.
+    """
     if media[:6] not in (b"GIF87a", b"GIF89a") or len(media) < 13:
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", media, 6)
+    if width * height > most:
+        raise ValueError(f"a screen of {width} x {height} pixels")
     at, colours = 13, None
     if flags & 0x80:
-        n = 3 << (flags & 7) + 1
-        colours, at = np.frombuffer(media, np.uint8, n, at).reshape(-1, 3), at + n
+        colours, at = _colours(media, at, flags)
     screen = np.zeros((height, width, 4), np.uint8)
     delay, disposal, transparent = 0, 0, None
     while at < len(media):
@@ -192,13 +208,18 @@ def frames(media: bytes) -> Iterator[Frame]:
             raise ValueError(f"unknown block {kind:#x}")
         left, top, w, h, packed = struct.unpack_from("<HHHHB", media, at + 1)
         at, own = at + 10, colours
+        if w * h > most:
+            raise ValueError(f"a frame of {w} x {h} pixels")
         if packed & 0x80:
-            n = 3 << (packed & 7) + 1
-            own, at = np.frombuffer(media, np.uint8, n, at).reshape(-1, 3), at + n
+            own, at = _colours(media, at, packed)
         first = media[at]
+        if not 1 < first < 9:
+            raise ValueError(f"samples of {first} bits")
         stream, at = _blocks(media, at + 1)
         pixels = lzw_decode(stream, first, w * h)
-        grid = np.frombuffer(pixels.ljust(w * h, b"\x00"), np.uint8).reshape(h, w)
+        if len(pixels) < w * h:
+            raise ValueError(f"{len(pixels)} samples for {w} x {h} pixels")
+        grid = np.frombuffer(pixels, np.uint8).reshape(h, w)
         if packed & 0x40:
             order = np.concatenate([np.arange(s, h, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))])
             straight = np.empty_like(grid)
@@ -218,6 +239,7 @@ def frames(media: bytes) -> Iterator[Frame]:
         elif before is not None:
             screen = before
         delay, disposal, transparent = 0, 0, None
+    raise ValueError("the stream breaks off before its end mark")
 
 
 def histogram(screen: np.ndarray) -> np.ndarray:
@@ -255,8 +277,8 @@ FRAME = "frame int, left int, top int, width int, height int, delay_ms int, star
 def gif_frames(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row per frame: the kept columns, frame (from 0), place, time, stored indices, composed screen and its histogram.
 
-    A null or empty media gives no row; a stream that breaks off or is no GIF gives the frames before the fault, then
-    one row whose error column is set and whose frame columns are null.
+    A null or empty media gives no row; a stream that breaks off, claims more than PIXELS or is no GIF gives the frames
+    before the fault, then one row whose error column is set and whose frame columns are null. Frames leave one by one.
     """
     own = df.select(*keep, F.col(media).alias("__media"))
     types = dict(own.dtypes)
@@ -265,18 +287,18 @@ def gif_frames(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("do
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [*[pa.int32()] * 6, pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.string()]
+        def one(batch: pa.RecordBatch, row: int, *values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[batch.column(c).slice(row, 1) for c in range(len(keep))], *[pa.array([v], k) for v, k in zip(values, kinds, strict=True)]], names=names)
+
         for batch in batches:
             for row, m in enumerate(batch.column(batch.num_columns - 1)):
-                rows: list[tuple] = []
                 at = 0
                 try:
                     for i, f in enumerate(frames(m.as_py()) if m.as_py() else ()):
-                        rows.append((i, f.left, f.top, f.width, f.height, f.delay_ms, at, f.disposal, f.transparent, f.indices, f.screen.tobytes(), histogram(f.screen).tolist(), None))
+                        yield one(batch, row, i, f.left, f.top, f.width, f.height, f.delay_ms, at, f.disposal, f.transparent, f.indices, f.screen.tobytes(), histogram(f.screen).tolist(), None)
                         at += f.delay_ms
                 except (ValueError, IndexError, struct.error) as fault:
-                    rows.append((*[None] * 12, str(fault)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array([row] * len(rows))) for c in range(len(keep))], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=names)
+                    yield one(batch, row, *[None] * 12, str(fault))
 
     return own.mapInArrow(read, schema)
 
@@ -295,8 +317,8 @@ def read_payloads(stored: DataFrame) -> DataFrame:
                     digest.update(f.indices)
                     n, tail, shown = n + len(f.indices), (tail + f.indices)[-WIDTH:], shown + 1
                     colours += histogram(f.screen)
-                bins = colours[[0, 21, 42, 63]]  # the greys
-                rows.append((n, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), f"{shown} frames; greys {' '.join(map(str, bins))} of {colours.sum()}", shown))
+                bins = " ".join(f"{c}:{colours[c]}" for c in np.flatnonzero(colours))
+                rows.append((n, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), f"{shown} frames; colours {bins} of {colours.sum()}", shown))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)

@@ -75,6 +75,33 @@ def test_gif_disposal_transparency_interlace_and_time(spark):
     assert [(r["frame"], r["start_ms"]) for r in got if r["doc_id"] == 1] == [(0, 0), (1, 50), (2, 120), (3, 130)]
     assert sum(r["colours"][48] for r in got if r["doc_id"] == 1) == 4 + 2 + 3
     assert not [r for r in got if r["doc_id"] == 2] and next(r for r in got if r["doc_id"] == 3)["error"]
+    assert [(r["frame"], r["error"] is None) for r in got if r["doc_id"] == 4] == [(None, False)]
+
+
+def test_gif_faults_are_rows(spark):
+    whole = gif.encode(bytes(range(256)) * 300)  # two frames
+    huge = whole[:6] + struct.pack("<HH", 65535, 65535) + whole[10:]
+    wide = small_gif([([1, 1, 1, 1], 1, None, 5, False)])
+    at = wide.index(b"\x2c\0\0\0\0\x02\0\x02\0")
+    tall = wide[: at + 7] + struct.pack("<H", 3) + wide[at + 9 :]  # three lines claimed, two there
+    code = wide[: at + 10] + b"\x0b" + wide[at + 11 :]
+    cases = [(0, whole, 2, False), (1, whole[:-1], 2, True), (2, whole[:-400], 1, True), (3, huge, 0, True), (4, tall, 0, True), (5, code, 0, True), (6, whole[:500], 0, True), (7, wide, 1, False), (8, b"", 0, False)]
+    got = rows(gif.gif_frames(spark.createDataFrame([(i, m) for i, m, _, _ in cases], "doc_id int, media binary")))
+    assert [(i, sum(r["frame"] is not None for r in got if r["doc_id"] == i), any(r["error"] for r in got if r["doc_id"] == i)) for i, *_ in cases] == [(i, n, e) for i, _, n, e in cases]
+
+
+def test_gif_stored_form_and_feature(odd_docs):
+    stored = gif.store_texts(odd_docs)
+    media = {(r["doc_id"], bytes(r["media"])) for r in rows(stored)}
+    got = rows(gif.read_payloads(stored))
+    assert {(r["doc_id"], r["media_bytes"], r["media_sha256"]) for r in got} == {(i, len(m), hashlib.sha256(m).hexdigest()) for i, m in media}
+    by_sha = {hashlib.sha256(m).hexdigest(): m for _, m in media}
+    for r in got:
+        counts, shown = Counter(), b""
+        for f in gif.frames(by_sha[r["media_sha256"]]):
+            shown = f.indices + shown[len(f.indices) :]  # a shorter last frame leaves the rest of the screen as it was
+            counts.update((b >> 6) * 21 for b in shown)
+        assert r["feature"] == f"{r['frames']} frames; colours {' '.join(f'{c}:{counts[c]}' for c in sorted(counts))} of {sum(counts.values())}"
 
 
 # --- 2: top-k --------------------------------------------------------------------------------------------------------
