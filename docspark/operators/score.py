@@ -61,6 +61,25 @@ def verdict_pivot(scored: DataFrame) -> DataFrame:
     return out.withColumn("n", sum((out[v] for v in VERDICTS), F.lit(0))).withColumn("recall", F.when(n > 0, out["stripped"] / n))
 
 
+def survival(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(type, stripped, leaked, fuzzy, n, recall) of entities to strip, (type, kept, over_stripped, n) of those to keep.
+
+    Split by each entity's own expectation, as a type may be on both sides. ``fuzzy`` counts leaks that only a fuzzy
+    match found. scored holds type, verdict, match and strip_expected.
+    """
+    is_ = lambda v: F.col("verdict") == v
+    go = scored.where("strip_expected").groupBy("type").agg(F.count_if(is_("stripped")).alias("stripped"), F.count_if(is_("leaked")).alias("leaked"), F.count_if(is_("leaked") & (F.col("match") == "fuzzy")).alias("fuzzy"))
+    go = go.withColumn("n", F.col("stripped") + F.col("leaked")).withColumn("recall", F.when(F.col("n") > 0, F.col("stripped") / F.col("n")).otherwise(0.0))
+    stay = scored.where("NOT strip_expected").groupBy("type").agg(F.count_if(is_("kept")).alias("kept"), F.count_if(is_("over-stripped")).alias("over_stripped"))
+    return go, stay.withColumn("n", F.col("kept") + F.col("over_stripped"))
+
+
+def rendered_truth(renders: DataFrame, truth: DataFrame) -> DataFrame:
+    """Entities of each rendered file: renders (file, source, ...) with the truth rows of its source file."""
+    own = truth.withColumnRenamed("file", "source")
+    return renders.join(own, "source")
+
+
 def strip_types(scored: DataFrame) -> DataFrame:
     """Types of which nothing was expected to stay."""
     return scored.groupBy("type").agg(F.bool_or(F.col("verdict").isin("kept", "over-stripped")).alias("k")).where(~F.col("k")).select("type")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -79,6 +80,29 @@ def embed(texts: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
     return texts.select(*names).mapInArrow(run, schema)
 
 
+class HttpEmbedder:
+    """An embedder behind HTTP: posts ``{"input": texts, ...}`` to ``url`` and reads ``data[i].embedding`` by index."""
+
+    factory = True
+
+    def __init__(self, url: str, model: str = "", timeout: float = 600, headers: dict[str, str] | None = None) -> None:
+        self.url, self.model, self.timeout = url, model, timeout
+        self.headers = {"Accept": "application/json", "Content-Type": "application/json", **(headers or {})}
+
+    def __call__(self) -> Callable[[list[str]], list[list[float]]]:
+        from urllib.request import Request, urlopen
+
+        def call(texts: list[str]) -> list[list[float]]:
+            body = json.dumps({"input": texts, "model": self.model, "encoding_format": "float"}).encode()
+            with urlopen(Request(self.url, body, self.headers), timeout=self.timeout) as answer:
+                data = sorted(json.load(answer)["data"], key=lambda d: d["index"])
+            if len(data) != len(texts):
+                raise ValueError(f"{len(data)} vectors for {len(texts)} texts")
+            return [d["embedding"] for d in data]
+
+        return call
+
+
 def hashing_embedder(dims: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """A stand-in without a model: signed counts of hashed words, of unit length."""
     from zlib import crc32

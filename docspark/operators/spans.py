@@ -85,6 +85,22 @@ def drop_contained(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, on, "left_anti")
 
 
+def drop_repeats(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans without those inside another of their class that scores higher, or as high and begins earlier or is longer.
+
+    Equal rows become one, spans of score 0 go. Being inside and going before are transitive, so it is enough to look at
+    all spans: an anti-join on keys and class.
+    """
+    own = spans.where("score > 0").distinct()
+    # of equal extent, class and score one recognizer's row stays
+    alike = [*keys, "entity_type", "start", "end", "score"]
+    own = own.groupBy(*alike).agg(*[F.min(c).alias(c) for c in spans.columns if c not in alike]).select(*spans.columns)
+    a, b = own.alias("a"), own.select(*alike).alias("b")
+    before = lambda x: F.struct((-F.col(f"{x}.score")).alias("s"), F.col(f"{x}.start").alias("p"), (-F.col(f"{x}.end")).alias("e"))
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "entity_type"]] + [F.col("b.start") <= F.col("a.start"), F.col("a.end") <= F.col("b.end"), before("b") < before("a")]
+    return a.join(b, on, "left_anti")
+
+
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Pairs with a common code point, with ``lo``, ``hi`` and ``shared``: the part in common.
 

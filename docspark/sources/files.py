@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.text import stem, suffix
+from docspark.storage import exists, stored
 
 MANIFEST = "file_name string, id string, title string, icon string, page_from int, page_to int, detect_columns boolean, color_headers boolean, header double, footer double"
 
@@ -86,13 +87,10 @@ def is_fixed_column(path):
 def append_results(results: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Append rows whose keys are not stored yet, as JSON lines; returns those rows."""
     spark = results.sparkSession
-    try:
+    new = results
+    if exists(spark, path):
         done = spark.read.schema(results.schema).json(path).select(*keys).distinct()
-        new = results.join(done, keys, "left_anti")
-    except Exception as e:  # nothing stored yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        new = results
+        new = stored(results.join(done, keys, "left_anti"), "results")
     new.write.mode("append").json(path)
     return new
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 OCR_WORDS = "line int, word_idx int, text string, left int, top int, width int, height int, conf double"
 PAGES = "page_no int, image binary"
@@ -21,26 +24,37 @@ def register_ocr(name: str, engine: Callable[[bytes, str], list[tuple]]) -> None
 def per_row(df: DataFrame, column: str, call: Callable[[bytes], Iterator[tuple]], schema: str, keep: list[str]) -> DataFrame:
     """A table function: rows of ``call(value)`` beside the kept columns and ``error`` (null, or why the value failed).
 
-    Rows before a failure are kept. Runs batch by batch with one value in memory at a time.
+    Rows before a failure are kept. One value is in memory at a time.
     """
     types = dict(df.dtypes)
-    names = [x.split()[0].strip("`") for x in schema.split(", ")]
+    fields = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                head, out, error = [row[k] for k in keep], [], None
+    def arrays(rows: list[tuple]) -> list[pa.Array]:
+        return [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(batch.num_columns - 1)
+            for row in range(batch.num_rows):
+                done, error, columns = [], None, []
                 try:
-                    for x in call(row[column]):
-                        out.append([*head, *x, None])
+                    for x in call(values[row].as_py()):
+                        done.append(x)
                 except Exception as e:  # a row's failure is data
                     error = f"{type(e).__name__}: {e}"
+                try:
+                    columns = arrays(done) if done else []
+                except Exception as e:  # so are values of a wrong type
+                    done, error = [], f"{type(e).__name__}: {e}"
+                parts = [(len(done), columns, None)] if done else []
                 if error is not None:
-                    out.append([*head, *[None] * len(names), error])
-                if out:
-                    yield pd.DataFrame(out, columns=[*keep, *names, "error"])
+                    parts.append((1, [pa.nulls(1, f.type) for f in fields], error))
+                for n, own, why in parts:
+                    head = [batch.column(k).take(pa.array([row] * n)) for k in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*head, *own, pa.array([why] * n, pa.string())], names=[*keep, *fields.names, "error"])
 
-    return df.select(*dict.fromkeys([*keep, column])).mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keep) + f", {schema}, error string")
+    own = df.select(*[F.col(k) for k in keep], F.col(column).alias("__value"))
+    return own.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keep) + f", {schema}, error string")
 
 
 def render_pages(files: DataFrame, renderer: Callable[[bytes, int], Iterator[bytes]], dpi: int = 300, keep: list[str] | None = None) -> DataFrame:
