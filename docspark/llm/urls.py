@@ -1,9 +1,10 @@
-"""URL filters: host and path rules, then association rules over URL tokens mined from labels with FP-growth."""
+"""URL filters: host and path rules, then association rules over URL tokens mined from labels by pattern growth (FP-growth)."""
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import UPPER, LOWER, stored, table
@@ -14,8 +15,6 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 MOST_RULES = 10_000
 #: A token set must be in this share of the labelled URLs, and so many of those must be labelled block.
 SUPPORT, CONFIDENCE = 0.005, 0.7
-#: Tokens of a URL that FP-growth combines, those of highest confidence; so a URL adds at most 2^WIDE token sets.
-WIDE = 8
 
 
 def url_host(url: Column) -> Column:
@@ -67,25 +66,67 @@ def url_tokens(url: Column) -> Column:
 
 
 def _hits(sets: DataFrame, rules: DataFrame, token_counts: DataFrame) -> DataFrame:
-    """The columns of sets (with tokens) joined to those of rules (with rule), for each rule whose tokens a set all has.
+    """The columns of sets (with tokens) joined to those of rules (with rule, alike), for each rule that fits a set.
 
-    Inverted index: a rule is posted under the one of its tokens that fewest URLs have, and the rest are verified.
+    A rule fits where the set has, of every group in alike, a token. Inverted index: a rule is posted under the tokens
+    of the one group that fewest URLs have, and the rest are verified. A set that has two of those meets the rule twice.
     """
-    posted = rules.select("rule", F.explode("rule").alias("token")).join(token_counts.select("token", "n"), "token")
-    index = posted.groupBy("rule").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
+    posted = rules.select("rule", F.posexplode("rule").alias("at", "token")).join(token_counts.select("token", "n"), "token")
+    index = posted.groupBy("rule").agg(F.min(F.struct("n", "at"))["at"].alias("at")).join(rules, "rule").withColumn("token", F.explode(F.col("alike")[F.col("at")])).drop("at")
     met = sets.withColumn("token", F.explode("tokens")).join(index, "token").drop("token")
-    return met.where(F.size(F.array_except("rule", "tokens")) == 0).join(rules, "rule")
+    return met.where(F.forall("alike", lambda g: F.arrays_overlap(g, F.col("tokens")))).drop("alike")
+
 
+def grow_sets(bases: DataFrame, items: DataFrame, least: float, confidence: float) -> DataFrame:
+    """bases (rest: item numbers, ascending; n, both) and items (item from 1, n ascending) to key, n, both: all sets that are rules.
 
-def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
+    Pattern growth as in FP-growth, a size of sets at a time: the conditional base of a set (suffix) is the distinct
+    rests of the URLs that have it, with their counts n and blocked counts both; from it come the counts of all sets with
+    one item more, rarest items first, and their bases. A set grows only if it can be part of a smallest rule: it is in
+    enough URLs and blocked URLs, no part of it is a rule, and each of its items leaves URLs out (an item that the
+    others imply adds nothing). Nor does it grow where no choice among its rests makes a rule (best), the rest that has all
+    items still to come included, as every larger set has it. None of this loses a smallest rule; larger ones may be
+    among the sets.
+    """
+    add = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("both").alias("both"))
+    step = lambda df: df.select(F.concat("suffix", F.array("item")).alias("suffix"), F.expr("slice(rest, at + 2, size(rest))").alias("rest"), "width", "n", "both").where(F.size("rest") > 0)
+    known = items.select(F.array("item").alias("key"), "n", F.lit(False).alias("dead"))
+    bases = bases.select(F.array().cast("array<int>").alias("suffix"), "rest", F.posexplode("rest").alias("at", "item"), "n", "both")
+    bases = step(bases.withColumn("width", F.lit(items.count()) - F.col("item")))
+    found = []
+    while True:
+        bases = stored(add(bases, "suffix", "rest", "width"), "bases")
+        over = F.col("both") - confidence * F.col("n")  # its sum over the rests that have all of a set is not negative for a rule
+        best = F.when((over > 0) | (F.size("rest") == F.col("width")), over).otherwise(0.0)
+        sets = bases.select("suffix", F.explode("rest").alias("item"), "n", "both", best.alias("best")).groupBy("suffix", "item").agg(*[F.sum(c).alias(c) for c in ("n", "both", "best")])
+        sets = sets.where((F.col("n") >= least) & (F.col("both") >= confidence * least)).withColumn("key", F.array_sort(F.concat("suffix", F.array("item"))))
+        parts = sets.withColumn("less", F.explode("key")).withColumn("part", F.array_remove("key", F.col("less")))
+        parts = parts.join(known.select(F.col("key").alias("part"), F.col("n").alias("part_n"), F.col("dead").alias("part_dead")), "part", "left")  # none: not grown, so no rule
+        sets = parts.groupBy(*sets.columns).agg(F.coalesce(F.max("part_dead"), F.lit(False)).alias("hit"), F.coalesce(F.min("part_n") == F.col("n"), F.lit(False)).alias("implied"))
+        rule = F.col("both") >= confidence * F.col("n")
+        sets = sets.withColumn("dead", F.col("hit") | F.col("implied") | rule).withColumn("grows", ~F.col("dead") & (F.col("best") + 1e-6 * F.col("n") >= 0))
+        sets = stored(sets, "sets")
+        found.append(sets.where(~F.col("hit") & rule).select("key", "n", "both"))
+        if sets.where("grows").isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        known = sets.select("key", "n", "dead")
+        after = sets.where("NOT dead").groupBy("suffix").agg(F.array_sort(F.collect_list(F.struct("n", "item", "grows"))).alias("after"))
+        after = after.select("suffix", F.col("after.item").alias("order"), F.filter("after", lambda x: x["grows"])["item"].alias("starts"))
+        bases = bases.join(after, "suffix").withColumn("rest", F.array_intersect("order", "rest"))
+        bases = bases.select("suffix", "rest", "order", "starts", F.posexplode("rest").alias("at", "item"), "n", "both").where(F.array_contains("starts", F.col("item")))
+        bases = step(bases.withColumn("width", (F.size("order") - F.array_position("order", F.col("item"))).cast("int")))
+
+
+def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
     """labelled (tokens, block 0/1) to (rules, token counts): smallest sets whose URLs are mostly labelled block.
 
-    rules has rule (its tokens), frequency and confidence, token counts has token and n. A rule is in a share
-    ``support`` of the labelled URLs at least, and so many as ``confidence`` says of those are labelled block. Single
-    tokens are counted. A set of more needs no token that is a rule by itself, none that is in too few blocked URLs, and
-    one of those that stand in just the same URLs; of what is left a URL's ``wide`` tokens of highest confidence go to
-    FP-growth, over blocked URLs only. The sets that it finds are counted anew on whole URLs, allowed ones too, and those
-    that hold a smaller rule are left out, as both say block.
+    rules has rule (its tokens), alike (for each of them the tokens that stand in just the same URLs, itself included),
+    frequency and confidence, token counts has token and n. A rule is in a share ``support`` of the labelled URLs at
+    least, and so many as ``confidence`` says of those are labelled block; no part of it is a rule. Single tokens are
+    counted. A larger set needs no token that is a rule by itself and none that is in too few URLs or blocked URLs;
+    tokens that stand in just the same URLs grow as one, named by the smallest, and each of them fits a rule's place. So
+    every smallest set is found, of any number of tokens and in URLs of any number of tokens; the work grows with the
+    number of sets that ``grow_sets`` must grow, which no bound cuts.
     """
     baskets = stored(labelled.where(F.size("tokens") > 0).select("tokens", F.col("block").cast("long").alias("block"), F.monotonically_increasing_id().alias("id")), "baskets")
     n, blocked = baskets.agg(F.count("*"), F.coalesce(F.sum("block"), F.lit(0))).first()
@@ -93,27 +134,25 @@ def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     each = baskets.select(F.explode("tokens").alias("token"), "block", F.xxhash64("id").cast("decimal(38,0)").alias("h"))
     counts = stored(each.groupBy("token").agg(F.count("*").alias("n"), F.sum("block").alias("both"), F.sum("h").alias("where")), "tokens")
     sure = (F.col("n") >= least) & (F.col("both") >= confidence * F.col("n"))
-    one = counts.where(sure).select(F.array("token").alias("rule"), F.col("n").alias("frequency"), (F.col("both") / F.col("n")).alias("confidence"))
-    usable = counts.where(~sure & (F.col("both") >= confidence * least))
-    usable = usable.groupBy("n", "both", "where").agg(F.min("token").alias("token")).select("token", (F.col("both") / F.col("n")).alias("c"))
-    # at most (tokens of a URL) / (support * confidence) tokens are usable
-    few = baskets.where("block = 1").select("id", F.explode("tokens").alias("token")).join(usable, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "token"))).alias("x"))
-    few = stored(few.where(F.size("x") > 1).select(F.slice("x.token", 1, wide).alias("items")), "blocked")
+    ratio = (F.col("both") / F.col("n")).alias("confidence")
+    one = counts.where(sure).select(F.array("token").alias("rule"), F.array(F.array("token")).alias("alike"), F.col("n").alias("frequency"), ratio)
+    # at most (tokens of a URL) / support tokens are usable
+    usable = counts.where(~sure & (F.col("n") >= least) & (F.col("both") >= confidence * least))
+    usable = usable.groupBy("n", "both", "where").agg(F.array_sort(F.collect_list("token")).alias("alike")).withColumn("token", F.col("alike")[0])
+    items = stored(usable.select(F.row_number().over(Window.orderBy("n", "token")).alias("item"), "token", "alike", "n"), "items")
+    few = baskets.select("id", "block", F.explode("tokens").alias("token")).join(items.select("token", "item"), "token").groupBy("id", "block").agg(F.array_sort(F.collect_list("item")).alias("rest"))
+    few = stored(few.where(F.size("rest") > 1).groupBy("rest").agg(F.count("*").alias("n"), F.sum("block").alias("both")), "usable")
     if not blocked or few.isEmpty():
         return one, counts.select("token", "n")
-    share = min(1.0, confidence * least / few.count())
-    sets = FPGrowth(itemsCol="items", minSupport=share).fit(few).freqItemsets.where(F.size("items") > 1).select(F.array_sort("items").alias("rule"))
-    sets = stored(sets, "itemsets")
-    whole = baskets.groupBy("tokens").agg(F.count("*").alias("n"), F.sum("block").alias("both"))
-    many = _hits(whole, sets, counts).groupBy("rule").agg(F.sum("n").alias("frequency"), F.sum("both").alias("both"))
-    many = many.where((F.col("frequency") >= least) & (F.col("both") >= confidence * F.col("frequency"))).select("rule", "frequency", (F.col("both") / F.col("frequency")).alias("confidence"))
-    many = stored(many, "combined")
-    larger = _hits(many.select(F.col("rule").alias("tokens")), many.select("rule"), counts).where(F.size("tokens") > F.size("rule"))
+    sets = grow_sets(few, items, least, confidence).withColumn("item", F.explode("key")).join(items.select("item", "token", "alike"), "item")
+    many = sets.groupBy("key", "n", "both").agg(F.array_sort(F.collect_list(F.struct("token", "alike"))).alias("x"))
+    many = stored(many.select(F.col("x.token").alias("rule"), F.col("x.alike").alias("alike"), F.col("n").alias("frequency"), ratio), "combined")
+    larger = _hits(many.select(F.col("rule").alias("tokens")), many.select("rule", "alike"), counts).where(F.size("tokens") > F.size("rule"))
     return one.unionByName(many.join(larger.select(F.col("tokens").alias("rule")).distinct(), "rule", "left_anti")), counts.select("token", "n")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, token_counts: DataFrame) -> DataFrame:
-    """urls (tokens, ...) with mined (the highest confidence of a rule whose tokens the URL all has, or null).
+    """urls (tokens, ...) with mined (the highest confidence of a rule that fits the URL, or null).
 
     Hot hosts and repeated URLs meet the index once, as their token sets are distinct first.
     """

@@ -476,6 +476,33 @@ def test_mined_rules_against_counting(spark):
     assert {r["token"]: r["n"] for r in rows(counts)} == Counter(x for t, _ in real for x in t)
 
 
+def test_mined_rules_of_wide_urls_are_whole(spark):
+    u = [f"u{i}" for i in range(10)]  # each surer by itself than p and q, and more than a URL's share of any cap
+    data = [(["p", "q", "q2", *u], 1)] * 40 + [([x for x in u if x != u[i % 10]], 0) for i in range(30)] + [(["p"], 0)] * 60 + [(["q", "q2"], 0)] * 60
+    rules, counts = urls.mine_rules(spark.createDataFrame(data, "tokens array<string>, block int"), 0.01, 0.7)
+    from itertools import combinations, product
+
+    got = [(frozenset(c), r["frequency"], r["confidence"]) for r in rows(rules) for c in product(*r["alike"])]
+    want = {}
+    for size in range(1, 7):
+        for c in map(frozenset, combinations(["p", "q", "q2", *u], size)):
+            labels = [b for t, b in data if c <= set(t)]
+            if len(labels) >= 0.01 * len(data) and sum(labels) >= 0.7 * len(labels) and not any(c - {x} in want or any(w < c for w in want) for x in c):
+                want[c] = (len(labels), sum(labels) / len(labels))
+    assert len(got) == len(want) and {c: (n, k) for c, n, k in got} == want and frozenset({"p", "q"}) in want
+    seen = [["p", "q"], ["p", "q2"], ["p", "u9", "x"], ["p"], ["q", "q2"], u[:4], u[5:]]
+    out = rows(urls.match_rules(spark.createDataFrame([(t,) for t in seen], "tokens array<string>"), rules, counts))
+    assert {tuple(r["tokens"]): r["mined"] for r in out} == dict(zip(map(tuple, seen), (1.0, 1.0, 1.0, None, None, None, 40 / 55), strict=True)) and len(out) == len(seen)
+
+
+def test_mining_ends_where_a_site_shares_many_tokens(spark):
+    site = [f"s{i:02}" for i in range(30)]  # a URL lacks one of them at most, so all 2^30 sets are frequent
+    own = {0: ["bad", "worse"], 1: ["bad"], 2: ["worse"]}
+    data = [([*(x for j, x in enumerate(site) if (i // 3 + j) % 100), *own[i % 3]], int(i % 3 == 0)) for i in range(900)]
+    rules, _ = urls.mine_rules(spark.createDataFrame(data, "tokens array<string>, block int"), 0.005, 0.7)
+    assert {(tuple(r["rule"]), r["frequency"], r["confidence"]) for r in rows(rules)} == {(("bad", "worse"), 300, 1.0)}
+
+
 def test_url_tokens_keep_what_ends_in_a_colon(spark):
     df = spark.createDataFrame([("http://a.b.co/x:/y//7?k=1&&l#f:",), (None,)], "url string")
     got = [r["t"] for r in df.select(urls.url_tokens(F.col("url")).alias("t")).collect()]
