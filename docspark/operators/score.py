@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions.text import normalize, squash_confusable
@@ -15,15 +15,17 @@ EVIDENCE = ("likely", "context", "all")
 def verdicts(truth: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
     """truth (keys, type, start, end, strip_expected, critical) with covered and verdict.
 
-    Covered is how many of its characters the plan's spans (disjoint) cover. What should go is stripped, partial or
-    leaked; what should stay is kept or over-stripped. Entities are numbered first, so equal rows stay apart.
+    Covered is how many of its characters the plan's spans (disjoint) cover; an entity that none of them touches counts
+    with its whole length, as the queries' SQL has it. What should go is stripped, partial or leaked; what should stay
+    is kept or over-stripped. The plan comes as one array per key, so truth rows pass a single join and equal ones stay
+    apart; a task sorts each side once. No span touches a row whose key is null.
     """
-    t = truth.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("start", "end", "type")))
-    p = plan.select(*[F.col(k).alias(f"p_{k}") for k in keys], F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    on = [F.col(k) == F.col(f"p_{k}") for k in keys] + [F.greatest("start", "p_start") < F.least("end", "p_end")]
-    part = F.coalesce(F.least("end", "p_end") - F.greatest("start", "p_start"), F.lit(0))
-    covered = t.join(p, on, "left").groupBy(*keys, "__n").agg(F.sum(part).alias("covered"))
-    return t.join(covered, [*keys, "__n"]).drop("__n").withColumn("verdict", verdict(F.col("strip_expected"), F.col("covered"), F.col("end") - F.col("start")))
+    p = plan.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("__p"))
+    shared = lambda x: F.greatest(F.coalesce(F.least("end", x["end"]) - F.greatest("start", x["start"]), F.lit(0)), F.lit(0))
+    touched = F.aggregate("__p", F.lit(0).cast("long"), lambda n, x: n + shared(x), lambda n: F.when(n > 0, n))
+    covered = F.coalesce(touched, F.col("end") - F.col("start"), F.lit(0)).cast("long")
+    out = truth.join(p, keys, "left").select(*truth.columns, covered.alias("covered"))
+    return out.withColumn("verdict", verdict(F.col("strip_expected"), F.col("covered"), F.col("end") - F.col("start")))
 
 
 def verdict(expected: Column, covered: Column, length: Column) -> Column:
