@@ -33,3 +33,14 @@ def test_verdicts_pass_one_join(spark, scored):
     assert plan_of(out).count("Join ") == 1 and "Window" not in plan_of(out)
     bad = sum(v in ("leaked", "partial") for *_, v in want)
     assert tuple(score.gate(out).first()) == (len(want), bad, False)
+
+
+def one_pass(df) -> bool:
+    return plan_of(df).count("Join ") == 1 and "Window" not in plan_of(df)
+
+
+def test_types_to_strip_come_from_one_pass(scored):
+    truth, plan, out = scored
+    kept = {r[1] for r in expected(truth, plan) if r[6] in ("kept", "over-stripped")}
+    got = score.strip_types(out)
+    assert {r["type"] for r in got.collect()} == {r[1] for r in truth} - kept == {"B"} and one_pass(got)
