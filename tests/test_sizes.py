@@ -44,3 +44,9 @@ def test_types_to_strip_come_from_one_pass(scored):
     kept = {r[1] for r in expected(truth, plan) if r[6] in ("kept", "over-stripped")}
     got = score.strip_types(out)
     assert {r["type"] for r in got.collect()} == {r[1] for r in truth} - kept == {"B"} and one_pass(got)
+
+
+def test_scores_come_from_one_pass(scored):
+    truth, plan, out = scored
+    got = out.select("doc_id", "type", "covered", "verdict")
+    assert Counter(map(tuple, got.collect())) == Counter((d, k, n, v) for d, k, _, _, _, n, v in expected(truth, plan)) and one_pass(got)
