@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import geometry as g
@@ -75,17 +75,24 @@ def fragment_words(words: DataFrame, fragments: DataFrame, keys: list[str]) -> D
 
 def assign_blocks(lines: DataFrame, blocks: DataFrame, page: list[str]) -> DataFrame:
     """lines (page, line, box, text) with block_id: the first block, in order, that holds its centre, else the one of
-    largest common area, else a block of its own, numbered after the page's detected ones by line."""
-    b = blocks.select(*[F.col(p).alias(f"b_{p}") for p in page], "block_id", F.col("box").alias("b_box"), "block_order")
-    inside, area = g.centre_inside(F.col("box"), F.col("b_box")), g.overlap_area(F.col("box"), F.col("b_box"))
-    on = [F.col(p) == F.col(f"b_{p}") for p in page] + [inside | (area > 0)]
-    rank = F.row_number().over(Window.partitionBy(*page, "line").orderBy(inside.desc_nulls_last(), F.when(inside, F.lit(0)).otherwise(-area), "block_order"))
-    met = lines.join(b, on, "left").withColumn("r", rank).where("r = 1")
-    counts = blocks.groupBy(*page).agg(F.count("*").alias("detected"))
-    met = met.join(counts, page, "left")
-    extra = F.sum(F.col("block_id").isNull().cast("int")).over(Window.partitionBy(*page).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    own = F.coalesce("detected", F.lit(0)) + extra - 1
-    return met.select(*lines.columns, F.coalesce("block_id", own).cast("int").alias("block_id"), F.col("block_id").isNull().alias("synthetic"))
+    largest common area, else a block of its own, numbered after the page's detected ones by line.
+
+    A page's blocks come as one array beside its lines, in the sort that also numbers: no join, and a task sorts once.
+    """
+    own = blocks.select(*page, F.struct("block_order", "block_id", F.col("box").alias("b")).alias("__b"))
+    whole = Window.partitionBy(*page).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = lines.withColumn("__line", F.lit(True)).unionByName(own, allowMissingColumns=True)
+    met = both.withColumn("__all", F.collect_list("__b").over(whole)).where("__line")
+
+    def fit(x: Column) -> Column:
+        inside, area = F.coalesce(g.centre_inside(F.col("box"), x["b"]), F.lit(False)), g.overlap_area(F.col("box"), x["b"])
+        return F.when(inside | (area > 0), F.struct((~inside).alias("a"), F.when(inside, 0).otherwise(-area).alias("s"), x["block_order"].alias("o"), x["block_id"].alias("block_id")))
+
+    best = F.array_min(F.transform("__all", fit))["block_id"]
+    met = met.select(*lines.columns, F.size("__all").alias("__n"), best.alias("__id"))
+    extra = F.sum(F.col("__id").isNull().cast("int")).over(so_far)
+    return met.select(*lines.columns, F.coalesce("__id", F.col("__n") + extra - 1).cast("int").alias("block_id"), F.col("__id").isNull().alias("synthetic"))
 
 
 def reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docspark.operators import score, search
+from docspark.operators import layout, score, search
 
 
 def plan_of(df) -> str:
@@ -74,3 +74,13 @@ def test_search_all_ranks_as_pairs_do(spark):
     for k in (1, 5):
         want = plain(met.withColumn("rank", rank).where(F.col("rank") <= k))
         assert plain(search.search_all(e, q, k, block=64)) == want and plain(search.search_all(e, q, k)) == want
+
+
+def test_blocks_are_assigned_in_one_sort(spark):
+    box = "struct<left:int,top:int,width:int,height:int>"
+    lines = [(p, i, (x, y, 10, 10)) for p in (1, 2) for i, (x, y) in enumerate([(0, 0), (95, 0), (500, 0), (45, 0), (600, 0)])] + [(3, 0, (0, 0, 9, 9)), (None, 0, (0, 0, 9, 9))]
+    blocks = [(1, 7, 0, (0, 0, 50, 50)), (1, 8, 1, (40, 0, 60, 50)), (2, 5, 1, (0, 0, 50, 50)), (2, 6, 0, (0, 0, 50, 50)), (4, 1, 0, (0, 0, 9, 9))]
+    out = layout.assign_blocks(spark.createDataFrame(lines, f"page int, line int, box {box}"), spark.createDataFrame(blocks, f"page int, block_id int, block_order int, box {box}"), ["page"])
+    want = {(1, 0): (7, False), (1, 1): (8, False), (1, 2): (2, True), (1, 3): (7, False), (1, 4): (3, True), (2, 0): (6, False), (2, 1): (2, True), (2, 2): (3, True), (2, 3): (6, False), (2, 4): (4, True), (3, 0): (0, True), (None, 0): (0, True)}
+    assert {(r["page"], r["line"]): (r["block_id"], r["synthetic"]) for r in out.collect()} == want and out.count() == len(want)
+    assert "Join " not in plan_of(out)
