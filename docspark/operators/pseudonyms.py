@@ -34,6 +34,7 @@ PREFIXES = {
     "DATE_OF_BIRTH": "DOB",
     "ORGANIZATION": "ORG",
 }
+TOKEN = r"[A-Z][A-Z_]*_[0-9]+"
 PMAP = "scope string, prefix string, norm_value string, placeholder string, n long, surface string"
 
 
@@ -78,18 +79,34 @@ def splice(text: Column, parts: Column) -> Column:
     return F.concat(F.array_join(run["out"], ""), F.substring(text, run["at"] + 1, F.length(text) - run["at"]))
 
 
-def rehydrate(texts: DataFrame, pmap: DataFrame, text: str = "text") -> DataFrame:
+def forms_of(text: Column, parts: Column) -> Column:
+    """For each token of the spliced text in order: what it stood for where that is not the map's surface, else null.
+
+    parts as in ``splice``, with the value found and the map's surface. Tokens that were in the text before stand for themselves.
+    """
+    tokens = lambda x: F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))
+    run = F.aggregate(
+        F.coalesce(parts, F.array().cast("array<struct<start:int,end:int,placeholder:string,value:string,surface:string>>")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda acc, p: F.struct(p["end"].alias("at"), F.concat(acc["out"], tokens(F.substring(text, acc["at"] + 1, p["start"] - acc["at"])), F.array(F.when(p["value"] != p["surface"], p["value"]))).alias("out")),
+    )
+    return F.concat(run["out"], tokens(F.substring(text, run["at"] + 1, F.length(text) - run["at"])))
+
+
+def rehydrate(texts: DataFrame, pmap: DataFrame, text: str = "text", forms: str | None = None) -> DataFrame:
     """texts (scope, ...) with every placeholder of its scope's map replaced by its first-seen surface; unknown ones stay.
 
+    A placeholder may touch other letters. Where the array column ``forms`` (see forms_of) has a form for a token, that goes in.
     Tokens are looked up in an equi-join, so the map may be of any size; a text's tokens meet again by its own key.
     """
-    token = r"\b[A-Z][A-Z_]*_[0-9]+\b"
     keyed = texts.withColumn("__k", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b")))
-    tokens = keyed.select("scope", "__k", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(token), F.lit(0)))).alias("placeholder")).distinct()
+    tokens = keyed.select("scope", "__k", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))).alias("placeholder")).distinct()
     found = tokens.join(pmap.select("scope", "placeholder", "surface"), ["scope", "placeholder"]).groupBy("scope", "__k").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "surface"))).alias("__m"))
     met = keyed.join(found, ["scope", "__k"], "left")
-    words, gaps = F.regexp_extract_all(text, F.lit(token), F.lit(0)), F.split(F.col(text), token, -1)
-    filled = F.zip_with(gaps, words, lambda g, w: F.concat(g, F.coalesce(F.try_element_at(F.col("__m"), w), w, F.lit(""))))
+    words, gaps = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.split(F.col(text), TOKEN, -1)
+    own = F.coalesce(forms, F.array().cast("array<string>")) if forms else F.array().cast("array<string>")
+    surfaces = F.zip_with(words, own, lambda w, f: F.coalesce(f, F.try_element_at(F.col("__m"), w), w))
+    filled = F.zip_with(gaps, surfaces, lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
     return met.withColumn(text, F.when(F.col("__m").isNull(), F.col(text)).otherwise(F.array_join(filled, ""))).drop("__k", "__m")
 
 
@@ -108,4 +125,4 @@ def pmap_to_json(pmap: DataFrame) -> DataFrame:
     return out.select("scope", F.to_json(F.struct("counters", "forward", "reverse")).alias("json"))
 
 
-__all__ = ["PMAP", "PREFIXES", "allocate", "collapse", "pmap_from_json", "pmap_to_json", "prefix_of", "rehydrate", "splice"]
+__all__ = ["PMAP", "PREFIXES", "TOKEN", "allocate", "collapse", "forms_of", "pmap_from_json", "pmap_to_json", "prefix_of", "rehydrate", "splice"]

@@ -1,5 +1,6 @@
 """Steps whose memory or time must not outgrow the input, on rows that the test tables do not have."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docspark.operators import layout, score, search
+from docspark.plans.queries import QUERIES
 
 
 def plan_of(df) -> str:
@@ -84,3 +86,11 @@ def test_blocks_are_assigned_in_one_sort(spark):
     want = {(1, 0): (7, False), (1, 1): (8, False), (1, 2): (2, True), (1, 3): (7, False), (1, 4): (3, True), (2, 0): (6, False), (2, 1): (2, True), (2, 2): (3, True), (2, 3): (6, False), (2, 4): (4, True), (3, 0): (0, True), (None, 0): (0, True)}
     assert {(r["page"], r["line"]): (r["block_id"], r["synthetic"]) for r in out.collect()} == want and out.count() == len(want)
     assert "Join " not in plan_of(out)
+
+
+def test_round_trip_gives_every_text_back(spark, tmp_path):
+    texts = ["jo@x.com and JO@x.com, Jo@X.com", "EMAIL_1 is jo@x.com_y", "a@b_c@d é", "EMAIL_1, EMAIL_9 and é", "énil@x.comé EMAIL_2", "", None, "jo@x.com and JO@x.com, Jo@X.com"]
+    rows = [(7 if i < 3 else None, x) for i, x in enumerate(texts)]  # ids repeat or lack
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r["doc_id"], r["body"]) for r in QUERIES["rehydrate"](spark, str(tmp_path)).collect())
+    assert got == Counter((i, x if x is None else hashlib.md5(x.encode()).hexdigest()) for i, x in rows)
