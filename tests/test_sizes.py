@@ -1,6 +1,7 @@
 """Steps whose memory or time must not outgrow the input, on rows that the test tables do not have."""
 
 import hashlib
+import random
 import time
 from collections import Counter
 
@@ -90,6 +91,38 @@ def test_types_to_strip_of_a_crowded_document(crowded):
     assert {r["type"] for r in in_time(score.strip_types(crowded[1]))} == {"A", "B"}
 
 
+def test_scores_of_a_crowded_document(crowded):
+    want, out = crowded
+    assert sorted(map(tuple, in_time(out.select("n", "type", "covered", "verdict")))) == want
+
+
+def test_scores_with_many_spans_equal_those_one_by_one(spark, monkeypatch):
+    """Overlapping, empty and backward spans, bounds that are null, numbers of spans about the powers of two."""
+    rng, truth, plan = random.Random(3), [], []
+    some = lambda v: None if rng.random() < 0.06 else v
+    for d in (None, *range(40)):
+        for rows, k in ((truth, 12), (plan, d or 0)):
+            for _ in range(k):
+                s = rng.randrange(-20, 150)
+                rows.append((some(d), some(s), some(s + rng.randrange(-2, 30)), len(rows)))
+    names = "doc_id long, start int, end int, n int"
+    t, p = spark.createDataFrame(truth, names).withColumn("strip_expected", F.lit(True)), spark.createDataFrame(plan, names)
+    got = []
+    for few in (-1, 1, 32, 99):
+        monkeypatch.setattr(score, "FEW", few)
+        got.append(sorted((r["n"], str(r["covered"]), r["verdict"]) for r in score.verdicts(t, p, ["doc_id"]).collect()))
+    assert len(got[0]) == len(truth) and got[0] == got[1] == got[2] == got[3]
+
+    def alone(s, e, d):
+        low = lambda *v: min((x for x in v if x is not None), default=None)
+        high = lambda *v: max((x for x in v if x is not None), default=None)
+        met = [(high(s, x), low(e, y)) for q, x, y, _ in plan if q == d and d is not None]
+        touched = sum(y - x for x, y in met if x is not None and y is not None and x < y)
+        return touched or (0 if s is None or e is None else e - s)
+
+    assert [(n, str(alone(s, e, d))) for d, s, e, n in truth] == [x[:2] for x in got[0]]
+
+
 def test_search_all_ranks_as_pairs_do(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(v) for v in x]) for i, x in enumerate(rng.integers(-2, 3, (300, 3)).astype("f4"))]  # many ties, some of no length
